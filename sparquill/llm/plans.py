@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import mixing, packing, percentiles, splitting, tokens
+from sparquill.llm import mixing, packing, percentiles, splitting, stuffing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,11 +123,23 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+# 8. stuffed pages
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffing_evidence(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_merged_days": p1_merged_days,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_evidence": p8_evidence,
 }
 
 _MODE = "retrieval_mode, completion_status"
