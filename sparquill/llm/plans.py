@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import mixing, packing, percentiles, splitting, stuffing, tokens
+from sparquill.llm import mixing, near_duplicates, packing, percentiles, splitting, stuffing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,38 @@ def _floored(col: str) -> str:
     return f"CASE WHEN {col} = 0 THEN 0.0::DOUBLE ELSE floor({col} / {width}) * {width} END"
 
 
+# 2. near-duplicates
+
+#: As TESTDATA.md has it for p2_found.
+_SIMILAR = near_duplicates.Forest(shingle_words=3, threshold=0.5, min_words=20)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = near_duplicates.near_duplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text", _SIMILAR)
+    pairs = near_duplicates.similar_pairs(links, members)
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = near_duplicates.near_duplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text")
+    return near_duplicates.link_counts(links, members).withColumnRenamed("id", "chunk_id")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = near_duplicates.near_duplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text")
+    return near_duplicates.duplicate_groups(links, members).withColumnRenamed("id", "chunk_id")
+
+
+def _pairs_sql(words: int, threshold: float, least: int) -> str:
+    run = ", ".join(f"w[i + {k}]" for k in range(words))
+    return f"""
+WITH t AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(content_text), '[a-z0-9_]+|[一-鿿]') AS w FROM chunks),
+s AS (SELECT DISTINCT chunk_id, [{run}] AS s FROM (SELECT chunk_id, w, unnest(range(1, len(w) - {words - 2})) AS i FROM t WHERE len(w) >= {least})),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x.chunk_id AS chunk_id_a, y.chunk_id AS chunk_id_b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.chunk_id < y.chunk_id GROUP BY 1, 2)
+SELECT chunk_id_a, chunk_id_b FROM c JOIN n a ON a.chunk_id = chunk_id_a JOIN n b ON b.chunk_id = chunk_id_b WHERE c / (a.n + b.n - c) >= {threshold}"""
+
+
 # 3. oversized texts
 
 
@@ -136,6 +168,7 @@ def p8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_merged_days": p1_merged_days,
+    "p2_found": p2_found, "p2_links": p2_links, "p2_groups": p2_groups,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
     "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares,
@@ -148,6 +181,7 @@ SQL = {
     "p1_percentiles": _runs_sql(_MODE) + "SELECT * FROM q",
     "p1_daily": _runs_sql(f"day, {_MODE}") + "SELECT * FROM q",
     "p1_merged_days": _runs_sql(_MODE) + f"SELECT {_MODE}, n, {_floored('p50')} AS p50_low, {_floored('p95')} AS p95_low, {_floored('p99')} AS p99_low FROM q",
+    "p2_found": _pairs_sql(3, 0.5, 20),
     "p3_found": "WITH d AS (SELECT DISTINCT chunk_id, content_text FROM chunks WHERE length(content_text) > 4096)\nSELECT chunk_id, min(CASE "
     + " ".join(f"WHEN list_max(list_transform({units}, lambda x: length(x))) <= 4096 THEN '{level}'" for level, units in _UNITS.items())
     + " ELSE 'none' END) AS boundary FROM d GROUP BY 1",
