@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import mixing, near_duplicates, packing, percentiles, splitting, stuffing, tokens
+from sparquill.llm import markup, mixing, near_duplicates, packing, percentiles, splitting, stuffing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,34 @@ _UNITS = {
     "word": "string_split_regex(content_text, '\\s+')",
 }
 
+# 4. markup
+
+#: Sources that are sent to every executor at most (8 bytes each); with more, chunks and sources are shuffled.
+_BROADCAST_SOURCES = 1_000_000
+
+
+def _text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of markdown, word and pdf sources, a source having the format of its latest row."""
+    sources = _table(spark, sf_dir, "knowledge_sources").groupBy("source_id").agg(F.max_by("format", "updated_at").alias("format"))
+    sources = sources.filter(F.col("format").isin("markdown", "word", "pdf")).select("source_id")
+    few = sources.count() <= _BROADCAST_SOURCES
+    chunks = _table(spark, sf_dir, "chunks").select("chunk_id", "source_id", "position_path", "content_text")
+    return chunks.join(F.broadcast(sources) if few else sources, "source_id", "left_semi")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_kinds(_text_chunks(spark, sf_dir), "chunk_id", "content_text", "source_id").withColumnRenamed("id", "chunk_id")
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_texts(_text_chunks(spark, sf_dir), "chunk_id", "content_text", keep=["position_path"]).withColumnRenamed("id", "chunk_id")
+
+
+def p4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = markup.wrapped(markup.tokenised(_text_chunks(spark, sf_dir), "chunk_id", "content_text", "source_id"))
+    return taken.groupBy(F.col("host").cast("bigint").alias("source_id"), "wrapper").agg(F.count("*").alias("chunks"))
+
+
 # 6. packing, 7. mixing
 
 
@@ -170,6 +198,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_merged_days": p1_merged_days,
     "p2_found": p2_found, "p2_links": p2_links, "p2_groups": p2_groups,
     "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p4_found": p4_found, "p4_clean": p4_clean, "p4_wrappers": p4_wrappers,
     "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_evidence": p8_evidence,
