@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sparquill.scratch import Scratch
 
-_HASH_BITS = 48
-_DIGIT = 12
+_HASH_BITS = 40
+_DIGIT = 8  # a histogram has at most 256 rows per target
 
 
 def normal_source(source: str = "source"):
@@ -52,6 +52,7 @@ def mix(sized: DataFrame, targets: DataFrame, mix_tokens: int | None = None) ->
 
     hist = scratch.keep(rows.groupBy("s", F.shiftright("h", _HASH_BITS - _DIGIT).alias("bucket")).agg(F.sum("n").alias("t")))
     held = hist.groupBy("s").agg(F.sum("t").alias("held"))
+    hist = hist.join(want.select("s"), "s", "left_semi")
     total = F.lit(mix_tokens).cast("bigint").alias("mix") if mix_tokens is not None else F.coalesce(F.sum("held"), F.lit(0)).alias("mix")
     size = held.agg(total) if mix_tokens is None else sized.sparkSession.range(1).select(total)
     plan = want.join(held, "s", "left").crossJoin(size).withColumn("held", F.coalesce("held", F.lit(0)))  # size is one row
