@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as txt
+from sparquill.scratch import Scratch
 
 
 @dataclass(frozen=True)
@@ -59,11 +60,26 @@ def query_weights(queries: DataFrame, counts: DataFrame, weighting: str = "idf",
     return known.crossJoin(F.broadcast(size)).select(F.col("doc").alias("qid"), "term", (F.col("idf") * saturation).alias("wq"))
 
 
+#: Query terms that are sent to every executor at most; with more, they are joined by shuffling.
+BROADCAST_TERMS = 1_000_000
+
+
 def search(queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "idf", cfg: Bm25 = Bm25()) -> DataFrame:
-    """(qid, doc, score, rank): the k best documents of each query, ties by the smaller id; scores have six decimals."""
-    hits = query_weights(queries, counts, weighting, cfg).join(doc_weights(counts, cfg=cfg), "term")
-    scored = hits.groupBy("qid", "doc").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
-    return top_k(scored, "qid", k)
+    """(qid, doc, score, rank): the k best documents of each query, ties by the smaller id; scores have six decimals.
+
+    Equal queries are searched once. The weights are laid out by document, so
+    that with few enough query terms the scores are summed where they arise and
+    only each partition's k best of a query are shuffled.
+    """
+    scratch = Scratch(queries.sparkSession)
+    texts = queries.groupBy("query").agg(F.min("qid").alias("first"))
+    asked = scratch.keep(query_weights(texts.select(F.col("first").alias("qid"), "query"), counts, weighting, cfg))
+    few = asked.count() <= BROADCAST_TERMS
+    weights = doc_weights(counts, cfg=cfg)
+    hits = weights.repartition("doc").join(F.broadcast(asked), "term") if few else weights.join(asked, "term")
+    scored = hits.groupBy("doc", "qid").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
+    best = top_k(scored, "qid", k).withColumnRenamed("qid", "first")
+    return queries.select("qid", "query").distinct().join(texts, "query").join(best, "first").select("qid", "doc", "score", "rank")
 
 
 def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import text as txt
 from sparquill.operators import dense, evaluate, fusion, sparse
+from sparquill.scratch import Scratch
 from sparquill.session import table
 
 K = 5
@@ -23,7 +24,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark, sf_dir):
-    return sparse.term_counts(corpus(spark, sf_dir), "chunk_id", "content_text")
+    """The postings, written once: weights of documents and queries, df and lengths all come from them."""
+    return Scratch(spark).keep(sparse.term_counts(corpus(spark, sf_dir), "chunk_id", "content_text"))
 
 
 def _runs(spark, sf_dir):
