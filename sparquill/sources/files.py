@@ -18,12 +18,12 @@ SPEC_ENDINGS = ("json", "yaml", "yml")
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, filename, scope, source, size_bytes, content, content_hash, error) of files below root/{scope}/{source}/{filename}."""
+    """(path, filename, scope, source, size_bytes, content, content_hash) of files below root/{scope}/{source}/{filename}; empty files have no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     parts = F.split("path", "/")
     return files.select(
         "path", F.element_at(parts, -1).alias("filename"), F.try_element_at(parts, F.lit(-3)).alias("scope"), F.try_element_at(parts, F.lit(-2)).alias("source"),
-        F.col("length").alias("size_bytes"), "content", F.sha2("content", 256).alias("content_hash"), F.when(F.col("length") == 0, "empty file").alias("error"),
+        F.col("length").alias("size_bytes"), "content", F.sha2("content", 256).alias("content_hash"),
     )
 
 

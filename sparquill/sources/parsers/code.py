@@ -50,6 +50,7 @@ class Member(NamedTuple):
 
 _TYPE = re.compile(r"\b(class|interface|enum|record|@interface)\s+([A-Za-z_$][\w$]*)")
 _CALLED = re.compile(r"([A-Za-z_$][\w$]*)\s*\(")
+_MODIFIERS = {"public", "protected", "private", "static", "final", "abstract", "synchronized", "native", "strictfp", "default"}  # fixed values: keywords
 _NOT_CALLS = {"if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new", "throw", "assert", "super", "this", "else", "do", "case"}  # fixed values: keywords
 
 
@@ -86,8 +87,8 @@ def java_members(quiet: str, start: int, end: int) -> list[Member]:
                 kind, name = "method", m.group(1)
             elif c == ";" and plain.strip():
                 kind, name = "field", re.split(r"[\s\[\]]+", plain.split(",")[0].strip())[-1]
-            if name and kind == "method" and len(plain[: plain.find(name + "(") if name + "(" in plain else m.start()].split()) == 0:
-                kind = ""  # a constructor or an initialiser
+            if kind == "method" and not set(plain[: m.start()].split()) - _MODIFIERS:
+                kind = ""  # a constructor: there is no type before its name
             if name and kind:
                 out.append(Member(name, kind, lead, stop, body))
             at = first = stop
