@@ -27,14 +27,14 @@ _LOW63 = 0x7FFFFFFFFFFFFFFF
 _SIGN = -0x8000000000000000
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _double_key(value: pd.Series) -> pd.Series:
     """The bits of a double as a bigint whose order is that of the values; -0.0 counts as 0.0."""
     bits = (value.to_numpy(np.float64) + 0.0).view(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ _LOW63, bits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _key_double(key: pd.Series) -> pd.Series:
     bits = key.to_numpy(np.int64)
     return pd.Series(np.where(bits < 0, bits ^ _LOW63, bits).view(np.float64))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 LEVELS = ("paragraph", "line", "sentence", "word", "none")  # from the strongest
 
-_BREAK = r"(?:\r\n|\r|\n)"
+_BREAK = r"(?>\r\n|\r|\n)"
 _CUTS = (
     re.compile(rf"{_BREAK}(?:[^\S\r\n]*{_BREAK})+"),
     re.compile(_BREAK),
