@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,12 +108,33 @@ def repeated_uploads(sources: DataFrame) -> DataFrame:
     return latest_sources(sources).filter("content_hash IS NOT NULL").groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("source_id").alias("first_source_id")).filter("copies > 1")
 
 
+def _streamed_hashes(rows: DataFrame, key: str, text: str, joiner: str = "\n\n") -> DataFrame:
+    """(key, n, sha) of rows that lie sorted by key: SHA-256 of a key's texts in order, held as a digest and never as a whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, digest, out = None, 0, None, []
+        for pdf in batches:
+            for k, t in zip(pdf[key], pdf[text]):
+                if digest is None or k != now:
+                    if digest is not None:
+                        out.append((now, n, digest.hexdigest()))
+                    now, n, digest = k, 0, hashlib.sha256()
+                digest.update(((joiner if n else "") + (t or "")).encode())
+                n += 1
+            yield pd.DataFrame(out, columns=[key, "n", "sha"])
+            out = []
+        if digest is not None:
+            yield pd.DataFrame([(now, n, digest.hexdigest())], columns=[key, "n", "sha"])
+
+    return rows.mapInPandas(run, f"{key} bigint, n int, sha string")
+
+
 def source_integrity(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """(source_id, chunks, hash_matches): whether content_hash is the SHA-256 of the chunk texts in order, joined by a blank line."""
-    each = chunks.dropDuplicates(["chunk_id"]).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "content_text"))).alias("c"))
-    text = F.array_join(F.transform("c", lambda x: x["content_text"]), "\n\n")
-    held = latest_sources(sources).join(each, "source_id", "left")
-    return held.select("source_id", F.coalesce(F.size("c"), F.lit(0)).alias("chunks"), (F.sha2(text, 256) == F.col("content_hash")).alias("hash_matches"))
+    rows = chunks.filter("source_id IS NOT NULL").select("source_id", "chunk_id", "content_text").dropDuplicates(["source_id", "chunk_id"])
+    hashed = _streamed_hashes(rows.repartition("source_id").sortWithinPartitions("source_id", "chunk_id"), "source_id", "content_text")
+    held = latest_sources(sources).join(hashed, "source_id", "left")
+    return held.select("source_id", F.coalesce("n", F.lit(0)).alias("chunks"), (F.col("sha") == F.col("content_hash")).alias("hash_matches"))
 
 
 def unique_names(new: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -96,9 +96,11 @@ def indexed_top_k(vectors: DataFrame, queries: DataFrame, centres: np.ndarray, k
     """As ``exact_top_k``, over the vectors in the ``probes`` lists nearest to each query."""
     indexed = assign_lists(vectors.select("doc", "embedding"), centres)
     asked = assign_lists(queries.select("qid", "embedding"), centres, probes)
-    salt = 8  # a list may hold a third of all vectors: it is searched in parts
-    right = indexed.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(salt)).cast("int"))
-    left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    # a list may hold a third of all vectors: it is searched in parts of one block; a row per list comes to the driver
+    sizes = {r["list"]: -(-r["n"] // VECTOR_BLOCK) for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    parts = F.coalesce(F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("list")], F.lit(1)) if sizes else F.lit(1)
+    right = indexed.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+    left = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
 
     def look(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):

@@ -67,3 +67,16 @@ def test_timing_medians(spark):
     rows = [("a", {"dense_ms": float(v), "noise": 1.0}) for v in (5, 1, 9, 3)] + [("a", {"dense_recall_ms": None}), ("b", None)]
     got = runs.timing_medians(spark.createDataFrame(rows, "tool string, subpath_timings map<string,double>")).collect()
     assert [tuple(r) for r in got] == [("a", "dense", 5)]
+
+
+def test_source_hashes_are_streamed(spark):
+    import hashlib
+
+    texts = {1: ["a", "b" * 5000, "ü"], 2: ["only"], 3: []}
+    chunks = [(s, 10 * s + i, t) for s, ts in texts.items() for i, t in enumerate(ts)]
+    sources = [(s, hashlib.sha256("\n\n".join(ts).encode()).hexdigest().upper(), "f", "ok", datetime(2026, 1, 1), datetime(2026, 1, 1)) for s, ts in texts.items()]
+    got = catalog.source_integrity(
+        spark.createDataFrame(sources, "source_id bigint, content_hash string, filename string, status string, created_at timestamp_ntz, updated_at timestamp_ntz"),
+        spark.createDataFrame(chunks + chunks[:2], "source_id bigint, chunk_id bigint, content_text string"),
+    ).collect()
+    assert {r.source_id: (r.chunks, r.hash_matches) for r in got} == {1: (3, True), 2: (1, True), 3: (0, None)}
