@@ -75,6 +75,18 @@ def fit_centroids(vectors: DataFrame, lists: int = 16, sample_rows: int = 10_000
     return centres
 
 
+def choose_probes(vectors: DataFrame, centres: np.ndarray, k: int = 5, recall: float = 0.95, sample_rows: int = 10_000, sample_queries: int = 200) -> int:
+    """The least number of lists to look into so that, within a bounded sample, this share of the exact top k is found."""
+    rows = vectors.select("doc", "embedding").orderBy(F.xxhash64("doc"), "doc").limit(sample_rows).toPandas()
+    points, ids = _unit(rows["embedding"]), rows["doc"].to_numpy()
+    own = np.argmax(points @ centres.T, axis=1)
+    asked = points[:sample_queries]
+    near = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    exact = [own[_best(row, ids, k)] for row in asked @ points.T]
+    place = np.concatenate([np.argsort(near[i])[lists] for i, lists in enumerate(exact)])  # how far down the query's order each answer's list is
+    return int(np.quantile(place, recall, method="higher")) + 1 if len(place) else 1
+
+
 def assign_lists(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """Adds ``list``: the nearest centroid, or a row for each of the ``probes`` nearest. Every vector is indexed."""
     names = vectors.columns
@@ -92,7 +104,7 @@ def assign_lists(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> Da
     return vectors.mapInPandas(assign, schema)
 
 
-def indexed_top_k(vectors: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 6) -> DataFrame:
+def indexed_top_k(vectors: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 8) -> DataFrame:
     """As ``exact_top_k``, over the vectors in the ``probes`` lists nearest to each query."""
     indexed = assign_lists(vectors.select("doc", "embedding"), centres)
     asked = assign_lists(queries.select("qid", "embedding"), centres, probes)

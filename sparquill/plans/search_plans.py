@@ -153,7 +153,8 @@ def dense_topk_scoped(spark, sf_dir):
 
 def dense_topk_indexed(spark, sf_dir):
     rows, asked = _vectors(spark, sf_dir)
-    return dense.indexed_top_k(rows, asked, dense.fit_centroids(rows), K).withColumnRenamed("doc", "vec_id")
+    centres = dense.fit_centroids(rows)
+    return dense.indexed_top_k(rows, asked, centres, K, dense.choose_probes(rows, centres, K)).withColumnRenamed("doc", "vec_id")
 
 
 def collection_dimension(spark, sf_dir):

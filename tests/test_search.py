@@ -40,7 +40,8 @@ def test_exact_and_indexed_top_k(spark):
         assert docs == set(np.lexsort((np.arange(400), -np.round(m @ m[qid], 6)))[:5])
     scoped = dense.exact_top_k(v, q, 5, scoped=True).collect()
     assert all(r.qid % 3 == r.doc % 3 for r in scoped)
-    found = dense.indexed_top_k(v, q, dense.fit_centroids(v, lists=8), 5, probes=6).collect()
+    centres = dense.fit_centroids(v, lists=8)
+    found = dense.indexed_top_k(v, q, centres, 5, dense.choose_probes(v, centres, 5)).collect()
     assert sum(r.doc in exact[r.qid] for r in found) >= 0.9 * sum(map(len, exact.values()))
 
 
