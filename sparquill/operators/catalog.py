@@ -155,3 +155,9 @@ def violations(runs: DataFrame) -> DataFrame:
     }
     row = runs.agg(*(F.count_if(~F.coalesce(rule, F.lit(True))).alias(name) for name, rule in rules.items()))
     return row.select(F.explode(F.map_from_arrays(F.array(*(F.lit(n) for n in rules)), F.array(*rules))).alias("rule", "rows"))
+
+
+def schema_differences(df: DataFrame, expected: dict[str, str]) -> list[str]:
+    """What keeps a table from being read as expected (name to type): missing columns and other types."""
+    held = dict(df.dtypes)
+    return [f"{c}: {held.get(c, 'missing')}, not {t}" for c, t in expected.items() if held.get(c) != t]

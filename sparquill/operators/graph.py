@@ -89,3 +89,19 @@ def annotate(evidence: DataFrame, hard: DataFrame, soft: DataFrame, key: str = "
     """Adds relation: the hard edge's struct where there is one, else the soft one's."""
     one = lambda df, name: df.groupBy(F.col("target").alias(key)).agg(F.min(F.struct("edge_id", "relation_type", "is_hard")).alias(name))
     return evidence.join(one(hard, "h"), key, "left").join(one(soft, "s"), key, "left").withColumn("relation", F.coalesce("h", "s")).drop("h", "s")
+
+
+def neighbours(node_seeds: DataFrame, directed: DataFrame, budget: int = 10) -> DataFrame:
+    """The nodes one hop from each seed, within the budget."""
+    return within_budget(expand(node_seeds, directed, 1), budget)
+
+
+def path_rows(expanded: DataFrame) -> DataFrame:
+    """One row per step of each candidate's path: (qid, doc, hop, edge_id, relation_type, direction, is_hard)."""
+    return expanded.select("qid", "doc", F.explode("path").alias("p")).select("qid", "doc", "p.hop", "p.edge_id", "p.relation_type", "p.direction", "p.is_hard")
+
+
+def rebuild_scope(existing: DataFrame, scopes: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Edges after the scopes (scope) were emptied and their newly extracted edges put in; other scopes stay."""
+    kept = existing.join(scopes.select("scope").distinct(), "scope", "left_anti")
+    return kept.unionByName(extracted.join(scopes.select("scope").distinct(), "scope", "left_semi"))

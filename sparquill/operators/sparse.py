@@ -64,9 +64,12 @@ def query_weights(queries: DataFrame, counts: DataFrame, weighting: str = "idf",
 BROADCAST_TERMS = 1_000_000
 
 
-def search(queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "idf", cfg: Bm25 = Bm25()) -> DataFrame:
+def search(queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "idf", cfg: Bm25 = Bm25(), scopes: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score, rank): the k best documents of each query, ties by the smaller id; scores have six decimals.
 
+    With ``scopes`` (doc, scope) and ``allowed`` (qid, scope) a query sees the
+    documents of its scopes only, before the cut to k, and one without scope none.
+
     Equal queries are searched once. The weights are laid out by document, so
     that with few enough query terms the scores are summed where they arise and
     only each partition's k best of a query are shuffled.
@@ -78,8 +81,12 @@ def search(queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "
     weights = doc_weights(counts, cfg=cfg)
     hits = weights.repartition("doc").join(F.broadcast(asked), "term") if few else weights.join(asked, "term")
     scored = hits.groupBy("doc", "qid").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
-    best = top_k(scored, "qid", k).withColumnRenamed("qid", "first")
-    return queries.select("qid", "query").distinct().join(texts, "query").join(best, "first").select("qid", "doc", "score", "rank")
+    named = queries.select("qid", "query").distinct().join(texts, "query").select("qid", "first")
+    scored = scored.withColumnRenamed("qid", "first")
+    if allowed is not None:
+        seen = scored.join(scopes.select("doc", "scope"), "doc").join(named.join(allowed.select("qid", "scope").distinct(), "qid"), ["first", "scope"])
+        return top_k(seen.select("qid", "doc", "score"), "qid", k)
+    return named.join(top_k(scored, "first", k), "first").select("qid", "doc", "score", "rank")
 
 
 def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:

@@ -22,7 +22,8 @@ def edges(spark, sf_dir):
         rows = table(spark, sf_dir, name).select((F.col(key) + at).cast("bigint").alias("source"), (F.col(ref) + to).cast("bigint").alias("target")).filter("source IS NOT NULL AND target IS NOT NULL").distinct()
         rows = rows.select("source", "target", F.lit("fk_references" if ref != "l_suppkey" else "inferred").alias("relation_type"), F.lit(ref != "l_suppkey").alias("is_hard"))
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("edge_id", F.col("source") * 7 + F.col("target") % 1_000_003).withColumn("direction", F.lit("out"))
+    digest = F.substring(F.md5(F.concat_ws("-", "source", "target")), 1, 15)
+    return out.withColumn("edge_id", F.conv(digest, 16, 10).cast("bigint")).withColumn("direction", F.lit("out"))
 
 
 def _seeds(spark, sf_dir):
@@ -62,6 +63,16 @@ def graph_expand_3hop_budget(spark, sf_dir):
     return graph.within_budget(out, 10).select("qid", "doc", "hop", F.round("weight", 6).alias("weight"), "graph_rank")
 
 
+def graph_neighbours(spark, sf_dir):
+    out = graph.neighbours(_seeds(spark, sf_dir), graph.directed_edges(edges(spark, sf_dir), "out"), 3)
+    return out.select("qid", "doc", F.round("weight", 6).alias("weight"), "graph_rank")
+
+
+def graph_path_steps(spark, sf_dir):
+    out = graph.expand(_seeds(spark, sf_dir), graph.directed_edges(edges(spark, sf_dir), "out"), 2)
+    return graph.path_rows(out).groupBy("hop", "relation_type", "direction", "is_hard").agg(F.count("*").alias("steps"), F.countDistinct("edge_id").alias("edges"))
+
+
 def graph_same_part(spark, sf_dir):
     """Orders that share a part with a seed: one hop out, one back."""
     parts = edges(spark, sf_dir).filter(F.col("target").between(_PART, _SUPPLIER - 1))
@@ -87,10 +98,10 @@ def soft_supersede(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_edges, graph_directed_edges, graph_expand_1hop, graph_expand_2hop, graph_expand_hard_only, graph_expand_3hop_budget, graph_same_part, soft_states, soft_supersede)
+    for f in (graph_edges, graph_directed_edges, graph_expand_1hop, graph_expand_2hop, graph_expand_hard_only, graph_expand_3hop_budget, graph_neighbours, graph_path_steps, graph_same_part, soft_states, soft_supersede)
 }
 
-_E = "WITH RECURSIVE e AS (SELECT source, target, relation_type, is_hard, source * 7 + target % 1000003 AS edge_id FROM (" + " UNION ALL ".join(
+_E = "WITH RECURSIVE e AS (SELECT source, target, relation_type, is_hard, CAST('0x' || substr(md5(source || '-' || target), 1, 15) AS BIGINT) AS edge_id FROM (" + " UNION ALL ".join(
     f"SELECT DISTINCT ({key} + {at})::BIGINT AS source, ({ref} + {to})::BIGINT AS target, '{'inferred' if ref == 'l_suppkey' else 'fk_references'}' AS relation_type, {ref != 'l_suppkey'} AS is_hard FROM {name} WHERE {key} IS NOT NULL AND {ref} IS NOT NULL"
     for name, key, at, ref, to in _EDGES
 ) + "))"
@@ -117,6 +128,9 @@ SQL = {
     "graph_expand_2hop": _walk(_AHEAD, 2) + "SELECT * FROM b",
     "graph_expand_hard_only": _walk(_AHEAD + " WHERE relation_type = 'fk_references'", 3) + "SELECT * FROM b",
     "graph_expand_3hop_budget": _walk(_AHEAD, 3) + "SELECT qid, doc, hop, weight, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, hop, doc) AS graph_rank FROM b QUALIFY graph_rank <= 10",
+    "graph_neighbours": _walk(_AHEAD, 1) + "SELECT qid, doc, weight, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, hop, doc) AS graph_rank FROM b QUALIFY graph_rank <= 3",
+    "graph_path_steps": _walk(_AHEAD, 2) + """, p AS (SELECT qid, doc, CAST(unnest(string_split(edges, ',')) AS BIGINT) AS edge_id, unnest(range(1, len(string_split(edges, ',')) + 1)) AS hop FROM b)
+SELECT hop::INT AS hop, relation_type, 'out' AS direction, is_hard, count(*) AS steps, count(DISTINCT edge_id) AS edges FROM p JOIN (SELECT DISTINCT edge_id, relation_type, is_hard FROM e) USING (edge_id) GROUP BY ALL""",
     "graph_same_part": _E + f""", p AS (SELECT o_orderkey AS qid, target FROM orders JOIN e ON source = o_orderkey WHERE o_orderkey % 50 = 0 AND target BETWEEN {_PART} AND {_SUPPLIER - 1})
 SELECT qid, count(DISTINCT target) AS parts, count(DISTINCT source) FILTER (source <> qid) AS orders FROM p LEFT JOIN e USING (target) GROUP BY 1""",
     "soft_states": _SOFT + " SELECT state AS lifecycle_state, count(*) AS relations FROM t GROUP BY 1",

@@ -61,6 +61,25 @@ def bm25_topk_binary(spark, sf_dir):
     return bm25_topk(spark, sf_dir, "binary")
 
 
+def _scopes(spark, sf_dir):
+    """(doc, scope) of the chunks and (qid, scope) of the runs: the scope of a run's first evidence."""
+    docs = corpus(spark, sf_dir).select(F.col("chunk_id").alias("doc"), F.col("knowledge_scope_id").alias("scope"))
+    first = _runs(spark, sf_dir).filter(F.size("refs") > 0).select("qid", F.col("refs")[0].cast("bigint").alias("doc"))
+    return docs, first.join(docs, "doc").select("qid", "scope")
+
+
+def bm25_topk_scoped(spark, sf_dir):
+    docs, allowed = _scopes(spark, sf_dir)
+    return sparse.search(_runs(spark, sf_dir).select("qid", "query"), _counts(spark, sf_dir), K, scopes=docs, allowed=allowed).withColumnRenamed("doc", "chunk_id")
+
+
+def scope_leakage(spark, sf_dir):
+    """What unscoped search finds outside of a run's scope, by scope."""
+    docs, allowed = _scopes(spark, sf_dir)
+    found = bm25_topk(spark, sf_dir).withColumnRenamed("chunk_id", "doc").join(docs, "doc").join(allowed.select("qid"), "qid", "left_semi")
+    return evaluate.leakage(found, allowed).groupBy("scope").agg(F.count("*").alias("leaked"))
+
+
 def _truth(spark, sf_dir):
     runs = _runs(spark, sf_dir)
     return runs.select("qid", "mode", F.posexplode_outer("refs").alias("pos", "ref")).select("qid", "mode", F.col("ref").cast("bigint").alias("doc"), (F.col("pos") + 1).alias("rank"))
@@ -164,7 +183,7 @@ def collection_dimension(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, term_stats_by_scope, term_stats_by_source, doc_weights, bm25_topk, bm25_topk_binary, rrf_fused, per_source_cap, hybrid_evidence, merged_rounds,
+        term_stats, term_stats_by_scope, term_stats_by_source, doc_weights, bm25_topk, bm25_topk_binary, bm25_topk_scoped, scope_leakage, rrf_fused, per_source_cap, hybrid_evidence, merged_rounds,
         context_selection, retrieval_metrics, metrics_by_mode, rank_deltas, quality_gate, dense_topk, dense_topk_scoped, dense_topk_indexed, collection_dimension,
     )
 }
@@ -226,6 +245,10 @@ SQL = {
     "doc_weights": _bm25() + "SELECT chunk_id, term, round(weight, 6) AS weight FROM w",
     "bm25_topk": _SEARCH + "SELECT * FROM bi",
     "bm25_topk_binary": _SEARCH + "SELECT * FROM bb",
+    "bm25_topk_scoped": _SEARCH + """, a AS (SELECT qid, c.knowledge_scope_id AS scope FROM q JOIN c ON c.chunk_id = CAST(refs[1] AS BIGINT))
+SELECT qid, sc.chunk_id, si AS score, row_number() OVER (PARTITION BY qid ORDER BY si DESC, sc.chunk_id) AS rank FROM sc JOIN c USING (chunk_id) JOIN a USING (qid) WHERE a.scope = c.knowledge_scope_id QUALIFY rank <= 5""",
+    "scope_leakage": _SEARCH + """, a AS (SELECT qid, c.knowledge_scope_id AS scope FROM q JOIN c ON c.chunk_id = CAST(refs[1] AS BIGINT))
+SELECT c.knowledge_scope_id AS scope, count(*) AS leaked FROM bi JOIN c USING (chunk_id) JOIN a USING (qid) WHERE a.scope <> c.knowledge_scope_id GROUP BY 1""",
     "rrf_fused": _SEARCH + "SELECT *, concat_ws('+', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN sparse_rank IS NOT NULL THEN 'sparse' END) AS retrievers FROM fr",
     "per_source_cap": _SEARCH + "SELECT qid, chunk_id, source_id, final_rank, row_number() OVER (PARTITION BY qid, source_id ORDER BY final_rank) AS in_source FROM fr JOIN c USING (chunk_id) QUALIFY in_source <= 2",
     "hybrid_evidence": _SEARCH + """, h AS (SELECT DISTINCT chunk_id, source_id, version_id, knowledge_scope_id, content_text, position_path FROM chunks),
