@@ -4,3 +4,12 @@ import __spark_entry__ as entry
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 70
+
+
+def test_nothing_imports_the_llm_subpackage():
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    for p in [*(root / "sparquill").rglob("*.py"), root / "bench.py"]:
+        if "llm" not in p.relative_to(root).parts:
+            assert "sparquill.llm" not in p.read_text(), p
