@@ -64,11 +64,13 @@ def query_weights(queries: DataFrame, counts: DataFrame, weighting: str = "idf",
 BROADCAST_TERMS = 1_000_000
 
 
-def search(queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "idf", cfg: Bm25 = Bm25(), scopes: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "idf", cfg: Bm25 = Bm25(), scopes: DataFrame | None = None, allowed: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """(qid, doc, score, rank): the k best documents of each query, ties by the smaller id; scores have six decimals.
 
     With ``scopes`` (doc, scope) and ``allowed`` (qid, scope) a query sees the
     documents of its scopes only, before the cut to k, and one without scope none.
+    With ``only`` (doc) no other document is seen by any query; the statistics
+    stay those of all of ``counts``.
 
     Equal queries are searched once. The weights are laid out by document, so
     that with few enough query terms the scores are summed where they arise and
@@ -79,7 +81,10 @@ def search(queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "
     asked = scratch.keep(query_weights(texts.select(F.col("first").alias("qid"), "query"), counts, weighting, cfg))
     few = asked.count() <= BROADCAST_TERMS
     weights = doc_weights(counts, cfg=cfg)
-    hits = weights.repartition("doc").join(F.broadcast(asked), "term") if few else weights.join(asked, "term")
+    weights = weights.repartition("doc") if few else weights
+    if only is not None:
+        weights = weights.join(only.select("doc"), "doc", "left_semi")
+    hits = weights.join(F.broadcast(asked), "term") if few else weights.join(asked, "term")
     scored = hits.groupBy("doc", "qid").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
     named = queries.select("qid", "query").distinct().join(texts, "query").select("qid", "first")
     scored = scored.withColumnRenamed("qid", "first")

@@ -85,10 +85,11 @@ def _truth(spark, sf_dir):
     return runs.select("qid", "mode", F.posexplode_outer("refs").alias("pos", "ref")).select("qid", "mode", F.col("ref").cast("bigint").alias("doc"), (F.col("pos") + 1).alias("rank"))
 
 
-def _lists(spark, sf_dir):
-    """The logged ranking as the dense list and BM25 as the sparse one."""
+def _lists(spark, sf_dir, found=None):
+    """The logged ranking as the dense list and BM25, or what else was found, as the sparse one."""
     logged = _truth(spark, sf_dir).filter("doc IS NOT NULL").groupBy("qid", "doc").agg(F.min("rank").alias("rank")).withColumn("retriever", F.lit("dense"))
-    lexical = bm25_topk(spark, sf_dir).select("qid", F.col("chunk_id").alias("doc"), "rank", F.lit("sparse").alias("retriever"))
+    found = bm25_topk(spark, sf_dir) if found is None else found
+    lexical = found.select("qid", F.col("chunk_id").alias("doc"), "rank", F.lit("sparse").alias("retriever"))
     return logged.unionByName(lexical)
 
 
@@ -104,11 +105,13 @@ def per_source_cap(spark, sf_dir):
 
 
 def hybrid_evidence(spark, sf_dir):
-    """The whole path: fusion, published versions only, a cap per source, top k, evidence rows."""
+    """The whole path: search among published versions only, twice k deep, fusion, a cap per source, top k, evidence rows."""
     versions = table(spark, sf_dir, "versions").filter("status = 'published'").select("version_id", "version_number").distinct()
     scopes = table(spark, sf_dir, "scopes").select(F.col("scope_id").alias("knowledge_scope_id"), "scope_type").distinct()
     chunks = table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("doc"), "source_id", "version_id", "knowledge_scope_id", "content_text", "position_path")
-    fused = fusion.rrf(_lists(spark, sf_dir)).join(chunks, "doc").join(versions, "version_id").join(scopes, "knowledge_scope_id", "left")
+    published = chunks.join(versions, "version_id", "left_semi").select("doc")
+    found = sparse.search(_runs(spark, sf_dir).select("qid", "query"), _counts(spark, sf_dir), 2 * K, only=published).withColumnRenamed("doc", "chunk_id")
+    fused = fusion.rrf(_lists(spark, sf_dir, found)).join(chunks, "doc").join(versions, "version_id").join(scopes, "knowledge_scope_id", "left")
     capped = fusion.per_source_cap(fused, 5, rank="final_rank")
     best = fusion.per_source_cap(capped, K, source="qid", rank="final_rank")
     return best.select(

@@ -71,3 +71,20 @@ def test_metrics(spark):
     assert (got[2].recall, got[2].ndcg) == (0.0, 0.0) and math.isclose(got[2].mrr, 1 / 7)
     assert (got[3].recall, got[3].mrr) == (1.0, 0.0)
     assert evaluate.per_query(truth.limit(0), ranked).collect() == []
+
+
+def test_unpublished_chunks_take_no_places(spark, tmp_path):
+    from sparquill.plans import search_plans
+
+    # 20 equal texts of four sources; the versions of the first twelve, which ties prefer, are not published
+    chunks = [(i, i % 4, 1 if i < 6 else 2 if i < 12 else 3, 7, "queue worker", "p") for i in range(20)]
+    spark.createDataFrame(chunks, "chunk_id bigint, source_id bigint, version_id bigint, knowledge_scope_id bigint, content_text string, position_path string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, 1, "draft"), (2, 2, "superseded"), (3, 3, "published")], "version_id bigint, version_number int, status string").write.parquet(f"{tmp_path}/versions.parquet")
+    spark.createDataFrame([(7, "project")], "scope_id bigint, scope_type string").write.parquet(f"{tmp_path}/scopes.parquet")
+    runs = [(50, "queue", ["3", "19"], "dense"), (100, "worker", [], "dense"), (150, "unknown", ["2", "18"], "dense")]
+    spark.createDataFrame(runs, "run_id bigint, query_text string, evidence_ref_ids array<string>, retrieval_mode string").write.parquet(f"{tmp_path}/retrieval_runs.parquet")
+    got = {}
+    for r in search_plans.hybrid_evidence(spark, str(tmp_path)).collect():
+        got.setdefault(r.qid, set()).add(r.evidence_id)
+    # 19 is both logged and found at the eighth place
+    assert got == {50: {"19", "12", "13", "14", "15"}, 100: {"12", "13", "14", "15", "16"}, 150: {"18"}}
