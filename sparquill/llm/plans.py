@@ -66,6 +66,8 @@ def _floored(col: str) -> str:
 
 #: As TESTDATA.md has it for p2_found.
 _SIMILAR = near_duplicates.Forest(shingle_words=3, threshold=0.5, min_words=20)
+#: One row for every chunk that has a text.
+_EVERY = near_duplicates.Forest(keep_short=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +77,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links, members = near_duplicates.near_duplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text")
+    links, members = near_duplicates.near_duplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text", _EVERY)
     return near_duplicates.link_counts(links, members).withColumnRenamed("id", "chunk_id")
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links, members = near_duplicates.near_duplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text")
+    links, members = near_duplicates.near_duplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text", _EVERY)
     return near_duplicates.duplicate_groups(links, members).withColumnRenamed("id", "chunk_id")
 
 
