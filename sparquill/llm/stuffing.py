@@ -1,10 +1,12 @@
 """Pages of stuffed keywords, link lists and tags instead of sentences.
 
-Two kinds of evidence are joined. List density: a page's characters are told
-apart as links with their labels, tags, keywords (runs of few words over and
-over), sentences and the like, and undecided fragments. Replication: the
-five-word phrases of all pages are counted by the hosts they stand on, and a
-fragment whose phrases stand on other hosts too counts as stuffed.
+Two kinds of evidence are joined, window by window of a page's text. List
+density: links with their labels and tags count as they stand, and the words
+of a window tell how much it repeats itself and how short its sentences are.
+Replication: the five-word phrases of all pages are counted by the hosts they
+stand on. A window that repeats itself a lot is stuffing; one that repeats
+itself less is stuffing if its phrases stand on other hosts too, the more of
+them the less it repeats itself.
 
 The phrases are not shuffled as rows. Each Arrow batch drops what repeats
 within it and sends, per hash range, one packed array; a range is counted in
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -25,81 +28,156 @@ from pyspark.sql import functions as F
 
 PHRASE_WORDS = 5
 MIN_HOSTS = 2  # a phrase on this many hosts is replicated
-WINDOW = 50  # words in which distinct words are counted
-FEW_IN_SENTENCES, FEW_IN_SHORT_ONES, FEW_IN_FRAGMENTS = 0.45, 0.75, 0.62  # a window with a smaller share of distinct words is keywords
-SHORT_WORDS, SHORT_SIGNS = 5.5, 11  # a mean below this makes a window's sentences short, in words or in Chinese characters
-LEAST_WORDS = 20  # fragments of fewer words in all show no repetition
+WINDOW = 50  # words in which distinct words are counted; a Chinese character is half a word
+LEAST_WORDS = 20  # a list of fewer words in all shows no repetition
+SHORT, LONG = 5.0, 7.0  # mean words of a window's sentences that make them short, and such as people write
 PAGES_PER_RANGE = 8_000
 
-_LINK = re.compile(r"<a\b[^<>]*>.{0,300}?</a\s*>|!?\[[^\[\]\n]{0,300}\]\([^()\s]*\)|\[\[[^\[\]\n]*\]\]", re.I | re.S)
+#: Per kind of window (low, span, most): with fewer than ``low`` distinct words a word it is keywords, whatever its phrases;
+#: above, the share of it that must stand in replicated phrases rises to 1 over ``span``, where it stays below ``most``.
+#: Sentences as people write them are often copied whole, so their replication tells nothing. Numbered lines are mostly
+#: tables of contents, so they count only where replicated; code, settings and logs repeat themselves and count as nothing.
+LIMITS = {"long sentences": (0.46, 0.0, 1.0), "short sentences": (0.75, 0.1, 1.0), "fragments": (0.6, 0.25, 0.9), "numbered lines": (0.0, 0.35, 1.0)}
+
+_ANCHOR = re.compile(r"<a\b[^<>]*>|</a\s*>", re.I)
+_LINK = re.compile(r"!?\[[^\[\]\n]*\]\([^()\s]*\)|\[\[[^\[\]\n]*\]\]")
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _HASHTAG = re.compile(r"(?<![\w#&])#[^\W\d_][\w-]*")
-_PRODUCT = re.compile(r"\b[A-Z]{1,4}-?\d{2,}\b.{0,40}?\d[.,]\d\d\b|\d[.,]\d\d\b.{0,40}?\b[A-Z]{1,4}-?\d{2,}\b")
+_CODE = re.compile(r"\b[A-Z]{1,4}-?\d{2,}\b")
+_PRICE = re.compile(r"\d[.,]\d\d\b")
 _ITEM = re.compile(r"[\n|»•·]")
 _END = re.compile(r"[.!?](?=\s|$)|[。！？]")
 _SIGN = re.compile(r"([㐀-鿿])")
-_PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"} | {c: " " for c in "。，、；：？！“”‘’（）《》»«·•…—–"})
+_PHRASE_ENDS = ",;|»•·，；、：:"
+_PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+-./<=>?@[\\]^_`{}~" + "。？！“”‘’（）《》«…—–"} | {c: "\n" for c in _PHRASE_ENDS})
 _PLAIN = re.compile(r"\s{2,}\S|\t|\d{4}-\d\d-\d\d[T ]|\s*[\w.\-\[\]\"']+\s*[=:]\s*\S+\s*$|\s*\d+(?:\.\d+)*[.)]?\s+\S|\s*\d+(?:\.\d+)+\s*$|\s*(?:```|\$ |//|--|<!)")
+_NUMBERED = re.compile(r"\s?\d+[.)]\s+[^\W\d_]")
 _CALL = re.compile(r"\w\([^()]*\)")
 
+@dataclass(slots=True)
+class Unit:
+    chars: int
+    phrases: list[list[str]]
+    """The words of each phrase between separators."""
+    words: list[str]
+    weight: float
+    """Words, a Chinese character counting half."""
 
-def _is_plain(line: str) -> bool:
-    """Neither a sentence nor stuffing: code, logs, settings, numbered headings, versions."""
-    return bool(_PLAIN.match(line)) or line.rstrip().endswith((";", "{", "}")) or bool(_CALL.search(line))
 
+@dataclass
+class Window:
+    """A stretch of about ``WINDOW`` words of one kind that replication decides: keywords if ``need`` of it is replicated."""
 
-def _words(unit: str) -> list[str]:
-    """Lower-case words; a Chinese character is a word."""
-    low = unit.lower().translate(_PUNCTUATION)
-    return low.split() if low.isascii() else _SIGN.sub(r" \1 ", low).split()
+    chars: int
+    need: float
+    phrases: list[list[str]]
 
 
-def _is_few(window: list[tuple[int, list[str]]], words: list[str], few: float, sentences: bool) -> bool:
-    if sentences and len(words) < len(window) * (SHORT_SIGNS if "㐀" <= words[len(words) // 2] <= "鿿" else SHORT_WORDS):
-        few = FEW_IN_SHORT_ONES
-    return len(set(words)) < few * len(words)
+@dataclass
+class Page:
+    chars: int = 0
+    links: int = 0
+    tags: int = 0
+    keywords: int = 0
+    windows: list[Window] = field(default_factory=list)
+    phrases: list[list[str]] = field(default_factory=list)
+    """The words of every phrase of the page, links left out."""
 
 
-def _keyword_units(units: list[tuple[int, list[str]]], few: float, sentences: bool) -> tuple[int, list[tuple[int, list[str]]]]:
-    """Characters of the units that stand in windows of few distinct words, and the other units."""
-    stuffed, rest, window, words = 0, [], [], []
-    for size, own in units:
-        if len(own) > 2 * WINDOW:  # a long run is judged by its parts
-            distinct = sum(len(set(own[i : i + WINDOW])) for i in range(0, len(own) - WINDOW + 1, WINDOW))
-            if distinct < few * (len(own) // WINDOW * WINDOW):
-                stuffed += size
-            else:
-                rest.append((size, own))
-            continue
-        window.append((size, own))
-        words += own
-        if len(words) >= WINDOW:
-            if _is_few(window, words, few, sentences):
-                stuffed += sum(n for n, _ in window)
-            else:
-                rest += window
-            window, words = [], []
-    if len(words) >= LEAST_WORDS and _is_few(window, words, few, sentences):
-        stuffed += sum(n for n, _ in window)
-    else:
-        rest += window
-    return stuffed, rest
-
-
-def page_evidence(text: str) -> tuple[int, int, int, int, list[list[str]], list[tuple[int, list[str]]]]:
-    """(characters, of links, of tags, of keywords, words of each unit of text, undecided fragments as (characters, words))."""
-    links = tags = 0
+def _is_plain(line: str) -> bool:
+    """Neither a sentence nor a list on the face of it: code, logs, settings, numbered headings, versions."""
+    return bool(_PLAIN.match(line)) or line.rstrip().endswith((";", "{", "}")) or bool(_CALL.search(line))
+
+
+def _unit(chars: int, text: str) -> Unit | None:
+    """The lower-case words; a Chinese character is a word. None without any."""
+    low, signs = text.lower().translate(_PUNCTUATION), 0
+    if not low.isascii():
+        low, signs = _SIGN.subn(r" \1 ", low)
+    words = low.split()
+    if not words:
+        return None
+    phrases = [w for w in map(str.split, low.split("\n")) if w] if "\n" in low else [words]
+    return Unit(chars, phrases, words, len(words) - 0.5 * signs)
+
+
+def _windows(units: list[Unit]) -> list[tuple[list[Unit], list[str], float]]:
+    """(units, words, weight) of each window; a rest shorter than half a window goes with the window before it."""
+    out: list[tuple[list[Unit], list[str], float]] = []
+    held: list[Unit] = []
+    words: list[str] = []
+    weight = 0.0
+    for unit in units:
+        held.append(unit)
+        words += unit.words
+        weight += unit.weight
+        if weight >= WINDOW:
+            out.append((held, words, weight))
+            held, words, weight = [], [], 0.0
+    if out and 0 < weight < WINDOW / 2:
+        before = out.pop()
+        out.append((before[0] + held, before[1] + words, before[2] + weight))
+    elif weight >= LEAST_WORDS:
+        out.append((held, words, weight))
+    return out
+
+
+def _judge(page: Page, units: list[Unit], kind: str) -> None:
+    """Adds the units' windows of few distinct words to the page's keywords, and those that replication decides to its windows."""
+    judged: list[tuple[list[Unit], float, float]] = []
+    long = [u for u in units if len(u.words) > 4 * WINDOW]
+    for unit in long:  # a long run is judged by the mean of its parts
+        parts = [unit.words[i : i + WINDOW] for i in range(0, len(unit.words) - WINDOW + 1, WINDOW)]
+        judged.append(([unit], sum(len(set(p)) for p in parts) / (WINDOW * len(parts)), LONG))
+    usual = [u for u in units if len(u.words) <= 4 * WINDOW] if long else units
+    judged += [(own, len(set(words)) / len(words), weight / len(own)) for own, words, weight in _windows(usual)]
+    for own, distinct, mean in judged:
+        if kind == "sentences":
+            (low, _, _), (high, span, most) = LIMITS["long sentences"], LIMITS["short sentences"]
+            shortness = min(max((LONG - mean) / (LONG - SHORT), 0.0), 1.0)
+            low, span = low + (high - low) * shortness, span * shortness
+        else:
+            low, span, most = LIMITS[kind]
+        chars = sum(u.chars for u in own)
+        if distinct < low:
+            page.keywords += chars
+        elif (need := min((distinct - low) / span, most) if span else 1.0) < 1:
+            page.windows.append(Window(chars, need, [p for u in own for p in u.phrases]))
+
+
+def _without_anchors(text: str) -> tuple[str, int]:
+    """The text without its HTML links, and their length; a link goes from its start tag to the next end tag."""
+    kept, links, at, start = [], 0, 0, -1
+    for m in _ANCHOR.finditer(text):
+        if m.group()[1] != "/":
+            start = m.start()
+        elif start >= 0:
+            kept += [text[at:start], "\n" if "\n" in text[start : m.end()] else " "]
+            links += m.end() - start
+            at, start = m.end(), -1
+    return "".join(kept) + text[at:], links
+
+
+def page_evidence(text: str) -> Page:
+    """What the page tells by itself: characters of links, tags and keywords, and the windows that its phrases' hosts decide."""
+    page = Page(chars=len(text.strip()))
+    body = text
+    if "<a" in body or "<A" in body:
+        body, page.links = _without_anchors(body)
 
     def cut(m: re.Match) -> str:
-        nonlocal links
-        links += m.end() - m.start()
-        return "\n" if "\n" in m.group() else " "
-
-    body = _LINK.sub(cut, text) if "<a" in text or "](" in text or "[[" in text or "<A" in text else text
-    total = len(text.strip())
-    sentences: list[tuple[int, list[str]]] = []
-    fragments: list[tuple[int, list[str]]] = []
-    units: list[list[str]] = []
+        page.links += m.end() - m.start()
+        return " "
+
+    body = _LINK.sub(cut, body) if "](" in body or "[[" in body else body
+    kinds: dict[str, list[Unit]] = {"sentences": [], "fragments": [], "numbered lines": [], "plain lines": []}
+
+    def say(kind: str, chars: int, text: str) -> None:
+        unit = _unit(chars, text)
+        if unit:
+            page.phrases.extend(unit.phrases)
+            kinds[kind].append(unit)
+
     for line in body.split("\n"):
         if not line or line.isspace():
             continue
@@ -108,9 +186,9 @@ def page_evidence(text: str) -> tuple[int, int, int, int, list[list[str]], list[
             for item in _ITEM.split(line):
                 label, n = _URL.subn("", item)
                 if n and len(label.split()) <= 12 * n and not label.rstrip(" -:").endswith((".", "!", "?", "。")):
-                    links += len(item) + 1
+                    page.links += len(item) + 1
                 elif n:
-                    links += len(item) - len(label)
+                    page.links += len(item) - len(label)
                     rest.append(label)
                 else:
                     rest.append(item)
@@ -118,39 +196,39 @@ def page_evidence(text: str) -> tuple[int, int, int, int, list[list[str]], list[
         if "#" in line:
             kept, n = _HASHTAG.subn("", line)
             if n >= 2:
-                tags += len(line) - len("".join(kept.split()))
+                page.tags += len(line) - len("".join(kept.split()))
                 line = kept
         if not line or line.isspace():
             continue
-        ends = [m.end() for m in _END.finditer(line)]
-        if not ends or len(ends) * 200 < len(line) or ("-" in line and _PRODUCT.search(line)):
+        if _PRICE.search(line) and _CODE.search(line):
             left = []
             for item in _ITEM.split(line):
-                if _PRODUCT.search(item) and not item.rstrip().endswith((".", "!", "?", "。")):
-                    tags += len(item) + 1
+                n = len(_CODE.findall(item))
+                if n and _PRICE.search(item) and len(item.split()) <= 12 * n and not item.rstrip().endswith((".", "!", "?", "。")):
+                    page.tags += len(item) + 1
                 else:
                     left.append(item)
             line = " ".join(left)
             if not line or line.isspace():
                 continue
-            ends = [m.end() for m in _END.finditer(line)]
         at = 0
-        for end in ends:
-            words = _words(line[at:end])
-            if words:
-                units.append(words)
-                sentences.append((end - at, words))
+        written = kinds["sentences"]
+        kinds["sentences"] = []
+        for end in (m.end() for m in _END.finditer(line)):
+            say("sentences", end - at, line[at:end])
             at = end
+        if sum(u.weight for u in kinds["sentences"]) >= WINDOW:  # a long line by itself, apart from its introduction
+            _judge(page, kinds["sentences"], "sentences")
+            kinds["sentences"] = written
+        else:
+            kinds["sentences"] = written + kinds["sentences"]
         unit = line[at:]
         if unit and not unit.isspace():
-            words = _words(unit)
-            if words:
-                units.append(words)
-                if at or not _is_plain(line):
-                    fragments.append((len(unit) + 1, words))
-    in_sentences, _ = _keyword_units(sentences, FEW_IN_SENTENCES, True)
-    in_fragments, undecided = _keyword_units(fragments, FEW_IN_FRAGMENTS, False)
-    return total, links, tags, in_sentences + in_fragments, units, undecided
+            kind = "fragments" if at or not _is_plain(line) else "numbered lines" if _NUMBERED.match(line) else "plain lines"
+            say(kind, len(unit) + 1, unit)
+    for kind in ("sentences", "fragments", "numbered lines"):
+        _judge(page, kinds[kind], kind)
+    return page
 
 
 def _phrases(units: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +257,15 @@ def _host(url: str | None) -> str:
 
 _MESSAGE = pa.schema([
     ("range", pa.int32()), ("hosts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("phrases", pa.binary()),
-    ("ids", pa.list_(pa.int64())), ("sums", pa.list_(pa.int32())), ("asked", pa.list_(pa.int64())), ("asked_phrases", pa.binary()), ("weights", pa.list_(pa.float32())),
+    ("ids", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64())), ("sums", pa.list_(pa.int32())), ("needs", pa.list_(pa.float32())),
+    ("asked", pa.list_(pa.int64())), ("asked_windows", pa.list_(pa.int64())), ("asked_phrases", pa.binary()), ("weights", pa.list_(pa.float32())),
 ])
-_MESSAGE_SQL = "range int, hosts array<int>, counts array<int>, phrases binary, ids array<bigint>, sums array<int>, asked array<bigint>, asked_phrases binary, weights array<float>"
-_SUMS = ("chars", "link_chars", "tag_chars", "keyword_chars", "fragment_chars")
+_MESSAGE_SQL = (
+    "range int, hosts array<int>, counts array<int>, phrases binary, ids array<bigint>, windows array<bigint>, sums array<int>, needs array<float>, "
+    "asked array<bigint>, asked_windows array<bigint>, asked_phrases binary, weights array<float>"
+)
+_SUMS = ("chars", "link_chars", "tag_chars", "keyword_chars", "asked_chars")
+_PAGE = -1  # as the window of the row that has a page's own sums
 
 
 def _pack(hashes: np.ndarray) -> bytes:
@@ -197,24 +280,42 @@ def _unpack(parts: list[bytes]) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
+def _range_of(phrase: np.ndarray, ranges: int) -> np.ndarray:
+    return ((phrase >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+
+
 def _messages(ids: list[int], texts: list[str | None], urls: list[str | None], ranges: int) -> pa.RecordBatch:
+    """What a batch sends to each hash range: its phrases by host, and the phrases that its windows ask for.
+
+    The pages' own sums ride along to a range that differs from batch to batch, so no range gathers them.
+    """
+    blank = lambda r: [r, [], [], b"", [], [], [], [], [], [], b"", []]
     hosts: dict[str, int] = {}
-    units, unit_host, sums, asked_units, asked_id, asked_chars = [], [], [], [], [], []
+    units, unit_host, page_ids, windows, sums, needs = [], [], [], [], [], []
+    asked, asked_id, asked_window, asked_chars = [], [], [], []
     for key, text, url in zip(ids, texts, urls):
-        total, links, tags, keywords, own, undecided = page_evidence(text) if text else (0, 0, 0, 0, [], [])
-        fragment = sum(n for n, _ in undecided)
-        sums += [total, links, tags, keywords, fragment]
-        units += own
-        unit_host += [hosts.setdefault(_host(url), len(hosts))] * len(own)
-        known = links + tags + keywords
-        if known <= 0.5 * total < known + fragment:  # only here can replication decide
-            for n, words in undecided:
-                if len(words) < PHRASE_WORDS:
-                    continue
-                asked_units.append(words)
-                asked_id.append(key)
-                asked_chars.append(n)
-    out: dict[int, list] = {0: [0, [], [], b"", ids, sums, [], b"", []]}
+        page = page_evidence(text) if text else Page()
+        page_ids.append(key)
+        windows.append(_PAGE)
+        sums += [page.chars, page.links, page.tags, page.keywords, sum(w.chars for w in page.windows)]
+        needs.append(0.0)
+        units += page.phrases
+        unit_host += [hosts.setdefault(_host(url), len(hosts))] * len(page.phrases)
+        first = xxhash.xxh3_64_intdigest(text) >> 2 if page.windows else 0
+        for number, window in enumerate(page.windows, first):
+            page_ids.append(key)
+            windows.append(number)
+            sums += [window.chars, 0, 0, 0, 0]
+            needs.append(window.need)
+            lengths = [sum(map(len, p)) for p in window.phrases]
+            scale = window.chars / sum(lengths)
+            asked += window.phrases
+            asked_id += [key] * len(lengths)
+            asked_window += [number] * len(lengths)
+            asked_chars += [n * scale for n in lengths]
+    home = xxhash.xxh32_intdigest(",".join(map(str, ids[:100]))) % ranges
+    out: dict[int, list] = {home: blank(home)}
+    out[home][4:8] = [page_ids, windows, sums, needs]
     names = np.fromiter((xxhash.xxh32_intdigest(h) for h in hosts), np.uint32, len(hosts)).view(np.int32)
     if units:
         phrase, unit = _phrases(units)
@@ -227,60 +328,61 @@ def _messages(ids: list[int], texts: list[str | None], urls: list[str | None], r
         at = np.arange(len(phrase))
         keep = at - np.maximum.accumulate(np.where(new_phrase, at, 0)) < MIN_HOSTS  # more hosts of a phrase tell nothing new
         phrase, host = phrase[keep], host[keep]
-        to = ((phrase >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+        to = _range_of(phrase, ranges)
         order = np.lexsort((host, to))
         phrase, host, to = phrase[order], host[order], to[order]
         ends = np.flatnonzero(np.append(to[1:] != to[:-1], True)) + 1
         for a, b in zip(np.append(0, ends[:-1]), ends):
             own = host[a:b]
             runs = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            message = out.setdefault(int(to[a]), [int(to[a]), [], [], b"", [], [], [], b"", []])
+            message = out.setdefault(int(to[a]), blank(int(to[a])))
             message[1:4] = [names[own[runs]], np.diff(np.append(runs, b - a)), _pack(phrase[a:b])]
-    if asked_units:
-        phrase, unit = _phrases(asked_units)
-        per_unit = np.bincount(unit, minlength=len(asked_units))
-        weight = (np.asarray(asked_chars, np.float64) / per_unit)[unit]
-        key = np.asarray(asked_id, np.int64)[unit]
-        to = ((phrase >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+    if asked:
+        phrase, unit = _phrases(asked)
+        weight = (np.asarray(asked_chars) / np.bincount(unit, minlength=len(asked)))[unit]
+        key, window, to = np.asarray(asked_id, np.int64)[unit], np.asarray(asked_window, np.int64)[unit], _range_of(phrase, ranges)
         for r in np.unique(to):
             here = to == r
-            message = out.setdefault(int(r), [int(r), [], [], b"", [], [], [], b"", []])
-            message[6:9] = [key[here], _pack(phrase[here]), weight[here].astype(np.float32)]
+            out.setdefault(int(r), blank(int(r)))[8:12] = [key[here], window[here], _pack(phrase[here]), weight[here].astype(np.float32)]
     columns = list(zip(*out.values()))
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _MESSAGE)], schema=_MESSAGE)
 
 
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
 def _count_range(table: pa.Table) -> pa.Table:
-    """Evidence of pages as sent, and the replicated characters of fragments whose phrases are in this range."""
-    ids = [i for x in table["ids"].to_pylist() for i in x]
-    sums = np.asarray([n for x in table["sums"].to_pylist() for n in x], np.int32).reshape(-1, len(_SUMS))
-    asked = [i for x in table["asked"].to_pylist() for i in x]
-    replicated = np.zeros(len(asked))
-    if asked:
-        phrase = _unpack(table["phrases"].to_pylist())
-        host = np.concatenate([np.repeat(np.asarray(h, np.int32), c) for h, c in zip(table["hosts"].to_pylist(), table["counts"].to_pylist())])
+    """Rows of pages and windows as sent, and the characters of windows whose phrases, of this range, stand on other hosts too."""
+    asked = _flat(table, "asked")
+    hit = np.zeros(len(asked))
+    if len(asked):
+        phrase, host = _unpack(table["phrases"].to_pylist()), np.repeat(_flat(table, "hosts"), _flat(table, "counts"))
         order = np.lexsort((host, phrase))
         phrase, host = phrase[order], host[order]
         new = np.append(True, (phrase[1:] != phrase[:-1]) | (host[1:] != host[:-1]))
         found, hosts = np.unique(phrase[new], return_counts=True)
         wanted = _unpack(table["asked_phrases"].to_pylist())
         at = np.minimum(np.searchsorted(found, wanted), len(found) - 1)
-        hit = (found[at] == wanted) & (hosts[at] >= MIN_HOSTS)
-        replicated = np.where(hit, np.asarray([w for x in table["weights"].to_pylist() for w in x]), 0.0)
-    none = np.zeros((len(asked), len(_SUMS)), np.int32)
-    sums = np.concatenate([sums, none])
-    columns = [pa.array(ids + asked, pa.int64()), *(pa.array(sums[:, k]) for k in range(len(_SUMS))), pa.array(np.append(np.zeros(len(ids)), replicated))]
-    return pa.Table.from_arrays(columns, names=["id", *_SUMS, "replicated_chars"])
+        hit = np.where((found[at] == wanted) & (hosts[at] >= MIN_HOSTS), _flat(table, "weights"), 0.0)
+    ids, none = _flat(table, "ids"), np.zeros(len(asked))
+    sums = np.concatenate([_flat(table, "sums").reshape(-1, len(_SUMS)), np.zeros((len(asked), len(_SUMS)), np.int32)])
+    columns = [
+        np.concatenate([ids, asked]), np.concatenate([_flat(table, "windows"), _flat(table, "asked_windows")]), *(sums[:, k] for k in range(len(_SUMS))),
+        np.concatenate([_flat(table, "needs"), none]).astype(np.float64), np.concatenate([np.zeros(len(ids)), hit]),
+    ]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["id", "window", *_SUMS, "need", "hit"])
 
 
 def stuffing_evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url") -> DataFrame:
-    """One row per id: id, chars, link_chars, tag_chars, keyword_chars, fragment_chars, replicated_chars, stuffed_share.
+    """One row per id: id, chars, link_chars, tag_chars, keyword_chars, asked_chars, replicated_chars, stuffed_share.
 
-    replicated_chars are those of undecided fragments of five words or more
-    whose five-word phrases stand on at least two hosts; they are counted where they can decide, that
-    is, where the other evidence alone makes no half of the page.
-    stuffed_share is (links + tags + keywords + replicated) / chars, 0 for
-    null, empty and blank texts.
+    asked_chars are those of the windows of words that repeat too little to be
+    keywords by themselves; replicated_chars are those of them of which a large
+    enough share stands in five-word phrases (or whole items of fewer words)
+    that are on at least two hosts. The less a window repeats, the more of it
+    must be replicated. stuffed_share is (links + tags + keywords + replicated)
+    / chars, 0 for null, empty and blank texts.
 
     Ids are whole numbers; rows without id are left out. Repeated rows of one id
     add up, which leaves the share as it is. Pages without url are of one
@@ -294,9 +396,13 @@ def stuffing_evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _messages(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("url").to_pylist(), ranges)
 
     counted = rows.mapInArrow(send, _MESSAGE_SQL).groupBy("range").applyInArrow(
-        _count_range, "id bigint, " + ", ".join(f"{c} int" for c in _SUMS) + ", replicated_chars double",
+        _count_range, "id bigint, window bigint, " + ", ".join(f"{c} int" for c in _SUMS) + ", need double, hit double",
     )
-    pages = counted.groupBy("id").agg(*(F.sum(c).alias(c) for c in _SUMS), F.round(F.sum("replicated_chars"), 3).alias("replicated_chars"))
+    # laid out by id once, for the windows and for the pages
+    windows = counted.repartition("id").groupBy("id", "window").agg(*(F.sum(c).alias(c) for c in _SUMS), F.max("need").alias("need"), F.sum("hit").alias("hit"))
+    page = F.col("window") == _PAGE
+    replicated = ~page & (F.col("hit") >= F.col("need") * F.col("chars") * (1 - 1e-6))
+    pages = windows.groupBy("id").agg(*(F.sum(F.when(page, F.col(c))).alias(c) for c in _SUMS), F.coalesce(F.sum(F.when(replicated, F.col("chars"))), F.lit(0)).alias("replicated_chars"))
     stuffed = F.col("link_chars") + F.col("tag_chars") + F.col("keyword_chars") + F.col("replicated_chars")
     return pages.withColumn("stuffed_share", F.coalesce(F.try_divide(stuffed, F.col("chars")), F.lit(0.0)))
 
