@@ -31,7 +31,7 @@ MIN_HOSTS = 2  # a phrase on this many hosts is replicated
 WINDOW = 50  # words in which distinct words are counted; a Chinese character is half a word
 LEAST_WORDS = 20  # a list of fewer words in all shows no repetition
 SHORT, LONG = 5.0, 7.0  # mean words of a window's sentences that make them short, and such as people write
-PAGES_PER_RANGE = 8_000
+PAGES_PER_RANGE = 16_000  # of about 1 KB each a range is 14 MB to read for its task; with 1e10 pages and more, a multiple keeps the tasks few
 
 #: Per kind of window (low, span, most): with fewer than ``low`` distinct words a word it is keywords, whatever its phrases;
 #: above, the share of it that must stand in replicated phrases rises to 1 over ``span``, where it stays below ``most``.
@@ -374,7 +374,7 @@ def _count_range(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c) for c in columns], names=["id", "window", *_SUMS, "need", "hit"])
 
 
-def stuffing_evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url") -> DataFrame:
+def stuffing_evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", url_col: str = "url", pages_per_range: int = PAGES_PER_RANGE) -> DataFrame:
     """One row per id: id, chars, link_chars, tag_chars, keyword_chars, asked_chars, replicated_chars, stuffed_share.
 
     asked_chars are those of the windows of words that repeat too little to be
@@ -386,16 +386,17 @@ def stuffing_evidence(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Ids are whole numbers; rows without id are left out. Repeated rows of one id
     add up, which leaves the share as it is. Pages without url are of one
-    unknown host. Other columns, whatever their names, are not read.
+    unknown host. Other columns, whatever their names, are not read. Each range
+    of phrase hashes is one task, so that a task reads as much at every size.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(url_col).cast("string").alias("url")).filter("id IS NOT NULL")
-    ranges = max(4, -(-df.count() // PAGES_PER_RANGE))
+    ranges = max(1, -(-df.count() // pages_per_range))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield _messages(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("url").to_pylist(), ranges)
 
-    counted = rows.mapInArrow(send, _MESSAGE_SQL).groupBy("range").applyInArrow(
+    counted = rows.mapInArrow(send, _MESSAGE_SQL).repartitionById(ranges, "range").groupBy("range").applyInArrow(
         _count_range, "id bigint, window bigint, " + ", ".join(f"{c} int" for c in _SUMS) + ", need double, hit double",
     )
     # laid out by id once, for the windows and for the pages
