@@ -137,12 +137,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_texts(_text_chunks(spark, sf_dir), "chunk_id", "content_text", keep=["position_path"]).withColumnRenamed("id", "chunk_id")
+    return markup.clean_texts(_text_chunks(spark, sf_dir), "chunk_id", "content_text", keep=["position_path"], host_col="source_id").withColumnRenamed("id", "chunk_id")
 
 
 def p4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = markup.wrapped(markup.tokenised(_text_chunks(spark, sf_dir), "chunk_id", "content_text", "source_id"))
-    return taken.groupBy(F.col("host").cast("bigint").alias("source_id"), "wrapper").agg(F.count("*").alias("chunks"))
+    found = markup.host_wrappers(_text_chunks(spark, sf_dir), "chunk_id", "content_text", "source_id")
+    return found.select(F.col("host").cast("bigint").alias("source_id"), "wrapper", F.col("rows").alias("chunks"))
 
 
 # 6. packing, 7. mixing
