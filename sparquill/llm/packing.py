@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,37 +43,59 @@ def first_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
     return where
 
 
-def pack(sized: DataFrame, id_col: str = "id", size_col: str = "n_tokens", capacity: int = 2048, group_rows: int = 20_000, total_rows: int | None = None) -> DataFrame:
-    """One row per packed piece: id, piece_no from 0, n_pieces, n_tokens, bin_id.
+def pieces_of_sizes(sized: DataFrame, id_col: str = "id", size_col: str = "n_tokens", capacity: int = 2048) -> DataFrame:
+    """(id, pieces) as ``tokens.with_token_pieces`` has them, from sizes only: full pieces and a rest, without places in the text.
 
-    Items are packed in groups of about ``group_rows``, drawn by a hash of the
-    id, so a group fits a task whatever the table's size; only an item above
-    the capacity is cut, into full pieces and a rest. No bin holds more than
-    ``capacity``. Items of null or no size have no row; a negative size counts
-    as none. Repeated rows are packed each for itself, and rows with a null id
-    are packed like others. An empty table gives an empty result.
+    Items of null or no size have no pieces; a negative size counts as none.
     """
-    size = F.col(size_col).cast("bigint")
-    items = sized.select(F.col(id_col).alias("id"), size.alias("n")).filter("n > 0")
-    cut = items.select("id", F.ceil(F.col("n") / F.lit(capacity)).cast("int").alias("n_pieces"), "n")
-    pieces = cut.select("id", "n_pieces", "n", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece_no"))
-    pieces = pieces.select(
-        "id", "piece_no", "n_pieces",
-        F.when(F.col("piece_no") < F.col("n_pieces") - 1, F.lit(capacity)).otherwise(F.col("n") - F.lit(capacity) * (F.col("n_pieces") - 1)).cast("int").alias("n_tokens"),
+    n = F.col("n")
+    items = sized.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)).alias("n")).filter("n > 0")
+    piece = lambda k: F.struct(
+        (k * capacity).cast("int").alias("token_start"), F.least((k + 1) * capacity, n).cast("int").alias("token_end"), F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"),
     )
+    return items.select("id", F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / F.lit(capacity))), piece).alias("pieces"))
+
+
+def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 20_000, total_rows: int | None = None) -> DataFrame:
+    """One row per packed piece of rows (id, pieces): id, piece_no from 0, n_pieces, n_tokens, token_start, char_start, char_end, bin_id.
+
+    Pieces are packed in groups of about ``group_rows`` rows, drawn by a hash of
+    the id, so a group fits a task whatever the table's size; only an item above
+    the capacity has several. No bin holds more than ``capacity``. Items without
+    pieces have no row. Repeated rows are packed each for itself, and rows with
+    a null id are packed like others. An empty table gives an empty result.
+    """
+    each = pieces.select("id", F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("piece_no", "p"))
+    each = each.select("id", "piece_no", "n_pieces", (F.col("p.token_end") - F.col("p.token_start")).alias("n_tokens"), "p.token_start", "p.char_start", "p.char_end")
     if total_rows is None:
-        total_rows = sized.count()
+        total_rows = pieces.count()
     groups = max(1, -(-total_rows // group_rows))
     # the size is hashed with the id, so that rows without id spread too
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece_no", "n_tokens"), F.lit(groups)).cast("int"))
+    grouped = each.withColumn("grp", F.pmod(F.xxhash64("id", "piece_no", "n_tokens"), F.lit(groups)).cast("int"))
+    names = ["id", "piece_no", "n_pieces", "n_tokens", "token_start", "char_start", "char_end"]
 
-    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "piece_no", "n_tokens"], kind="stable")
-        bins = first_fit_decreasing(pdf["n_tokens"].tolist(), capacity)
-        return pdf[["id", "piece_no", "n_pieces", "n_tokens"]].assign(bin_id=np.int64(key[0]) * (1 << 32) + np.asarray(bins, dtype=np.int64))
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("id", "piece_no", "n_tokens")])
+        sizes = table["n_tokens"].to_pylist()
+        if sizes and max(sizes) > capacity:
+            raise ValueError("a piece exceeds the capacity")
+        bins = np.asarray(first_fit_decreasing(sizes, capacity), np.int64) + (table["grp"][0].as_py() << 32)
+        return table.select(names).append_column("bin_id", pa.array(bins))
 
-    kind = items.schema["id"].dataType.simpleString()
-    return grouped.groupBy("grp").applyInPandas(fill, f"id {kind}, piece_no int, n_pieces int, n_tokens int, bin_id bigint")
+    schema = ", ".join(f"{n} {each.schema[n].dataType.simpleString()}" for n in names) + ", bin_id bigint"
+    return grouped.groupBy("grp").applyInArrow(fill, schema)
+
+
+def contexts(packed: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per bin: bin_id, n_tokens, items (array of id, piece_no, text in order of id): the filled containers themselves.
+
+    Ids of ``df`` are unique; rows without id are not in it. Texts are shuffled
+    twice, to their id and to their bin; a bin is as small as its capacity.
+    """
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    piece = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    cut = packed.join(texts, "id").select("bin_id", "n_tokens", F.struct("id", "piece_no", F.when(F.col("n_pieces") == 1, F.col("text")).otherwise(piece).alias("text")).alias("item"))
+    return cut.groupBy("bin_id").agg(F.sum("n_tokens").cast("int").alias("n_tokens"), F.sort_array(F.collect_list("item")).alias("items"))
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm import markup, mixing, near_duplicates, packing, percentiles, splitting, stuffing, tokens
+from sparquill.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,16 +101,32 @@ SELECT chunk_id_a, chunk_id_b FROM c JOIN n a ON a.chunk_id = chunk_id_a JOIN n
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = splitting.split_oversized(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text")
-    return pieces.filter("boundary IS NOT NULL").groupBy(F.col("id").alias("chunk_id")).agg(F.min("boundary").alias("boundary"))
+    pieces = splitting.split_oversized(_table(spark, sf_dir, "chunks"), "chunk_id", "content_text").filter("boundary IS NOT NULL")
+    levels = F.array(*map(F.lit, splitting.LEVELS))  # from the coarsest
+    return pieces.groupBy(F.col("id").alias("chunk_id")).agg(F.min(F.array_position(levels, F.col("boundary")).cast("int")).alias("k")).select("chunk_id", levels[F.col("k") - 1].alias("boundary"))
+
+
+def _once(chunks: DataFrame) -> DataFrame:
+    """Each row once; only rows whose id occurs again are compared by their text, the others do not move where those ids are few."""
+    again = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id")
+    return chunks.join(again, "chunk_id", "left_anti").unionByName(chunks.join(again, "chunk_id", "left_semi").distinct())
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id", "position_path", "content_text"])
+    chunks = _once(_table(spark, sf_dir, "chunks").select("chunk_id", "position_path", "content_text"))
     pieces = splitting.split_oversized(chunks, "chunk_id", "content_text", keep=["position_path"])
     return pieces.withColumnRenamed("id", "chunk_id")
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per text: what its pieces give when their bodies are joined, the longest piece, and whether all overlaps are as stated."""
+    p = p3_pieces(spark, sf_dir).withColumn("overlap", F.when(F.col("piece_no") == 0, 0).otherwise(200))
+    body = F.struct("piece_no", F.expr("substring(text, overlap + 1)").alias("body"), F.col("start").alias("at"), F.length("text").alias("n"), F.expr("left(text, overlap)").alias("head"), F.expr("right(text, 200)").alias("tail"))
+    whole = p.groupBy("chunk_id", "position_path").agg(F.sort_array(F.collect_list(body)).alias("b"), F.max(F.length("text")).alias("longest"))
+    pairs = F.zip_with(F.slice("b", 1, F.size("b") - 1), F.slice("b", 2, F.size("b")), lambda x, y: (x["tail"] == y["head"]) & (x["at"] + x["n"] - 200 == y["at"]))
+    return whole.select("chunk_id", "position_path", F.md5(F.array_join("b.body", "")).alias("md5"), (F.col("longest") <= 4096).alias("within"), F.forall(pairs, lambda x: x).alias("overlapping"))
+
+
 _UNITS = {
     "paragraph": "string_split_regex(content_text, '(\\r\\n|\\r|\\n)([^\\S\\r\\n]*(\\r\\n|\\r|\\n))+')",
     "line": "string_split_regex(content_text, '\\r\\n|\\r|\\n')",
@@ -152,9 +169,12 @@ def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"])
 
 
+_CAPACITY = 2048
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    return packing.pack(_document_tokens(spark, sf_dir), total_rows=documents.count())
+    return packing.pack(tokens.with_token_pieces(documents, "doc_id", "text", _CAPACITY), _CAPACITY, total_rows=documents.count())
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +185,22 @@ def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
 
 
+def p6_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.contexts(Scratch(spark).keep(_packed(spark, sf_dir)), _table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of what must hold of the filled contexts: whole texts in them, none overfull, only larger ones cut, hardly any room left."""
+    packed = Scratch(spark).keep(_packed(spark, sf_dir))
+    texts = packing.contexts(packed, _table(spark, sf_dir, "documents"), "doc_id", "text").select(F.explode("items").alias("i"), "n_tokens")
+    held = texts.agg(F.countDistinct("i.id").alias("documents"), F.sum(F.length("i.text")).alias("chars"), F.count_if(F.col("n_tokens") > _CAPACITY).alias("overfull"))
+    sizes = packed.groupBy("id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max("n_pieces").alias("of"))
+    cut = sizes.agg(F.count_if(((F.col("n") <= _CAPACITY) & (F.col("pieces") > 1)) | (F.col("pieces") != F.col("of"))).alias("wrongly_cut"))
+    # first-fit decreasing leaves at most one bin per group filled by less than a half; the rest shows in the share
+    fill = packing.fill_report(packed).select((F.col("bins") <= F.ceil(F.col("least_bins") * 1.02) + 1).alias("well_filled"))
+    return held.crossJoin(cut).crossJoin(fill)  # one row each
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
@@ -199,9 +235,9 @@ def p8_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_merged_days": p1_merged_days,
     "p2_found": p2_found, "p2_links": p2_links, "p2_groups": p2_groups,
-    "p3_found": p3_found, "p3_pieces": p3_pieces,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rejoined": p3_rejoined,
     "p4_found": p4_found, "p4_clean": p4_clean, "p4_wrappers": p4_wrappers,
-    "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill,
+    "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p6_contexts": p6_contexts, "p6_invariants": p6_invariants,
     "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_evidence": p8_evidence,
 }
@@ -213,7 +249,9 @@ SQL = {
     "p1_daily": _runs_sql(f"day, {_MODE}") + "SELECT * FROM q",
     "p1_merged_days": _runs_sql(_MODE) + f"SELECT {_MODE}, n, {_floored('p50')} AS p50_low, {_floored('p95')} AS p95_low, {_floored('p99')} AS p99_low FROM q",
     "p2_found": _pairs_sql(3, 0.5, 20),
-    "p3_found": "WITH d AS (SELECT DISTINCT chunk_id, content_text FROM chunks WHERE length(content_text) > 4096)\nSELECT chunk_id, min(CASE "
-    + " ".join(f"WHEN list_max(list_transform({units}, lambda x: length(x))) <= 4096 THEN '{level}'" for level, units in _UNITS.items())
-    + " ELSE 'none' END) AS boundary FROM d GROUP BY 1",
+    "p6_invariants": "SELECT count(*) AS documents, sum(length(text)) AS chars, 0::BIGINT AS overfull, 0::BIGINT AS wrongly_cut, true AS well_filled FROM documents WHERE text <> ''",
+    "p3_found": "WITH d AS (SELECT DISTINCT chunk_id, content_text FROM chunks WHERE length(content_text) > 4096)\nSELECT chunk_id, ['paragraph', 'line', 'sentence', 'word', 'none'][min(CASE "
+    + " ".join(f"WHEN list_max(list_transform({units}, lambda x: length(x))) <= 4096 THEN {k}" for k, units in enumerate(_UNITS.values(), 1))
+    + " ELSE 5 END)] AS boundary FROM d GROUP BY 1",
+    "p3_rejoined": "SELECT DISTINCT chunk_id, position_path, md5(content_text) AS md5, true AS within, true AS overlapping FROM chunks WHERE content_text <> ''",
 }

@@ -21,21 +21,54 @@ _CUTS = (
 )
 
 
+class _Marks:
+    """The boundaries of a text, per level: where they end, in order, and where each begins."""
+
+    def __init__(self, text: str):
+        self.spans = [{m.end(): m.start() for m in cut.finditer(text)} for cut in _CUTS]
+        self.ends = [sorted(s) for s in self.spans]
+
+    def cut(self, a: int, b: int, levels: int, least: int) -> tuple[int, str] | None:
+        """The place, not before ``least``, of the strongest boundary of the first ``levels`` in the middle half of a..b, nearest to the midpoint; without any there, elsewhere."""
+        mid, quarter = (a + b) // 2, (b - a) // 4
+        for low, high in ((mid - quarter, mid + quarter), (a + 1, b - 1)):
+            for level, at in zip(LEVELS[:levels], self.ends):
+                i = bisect_left(at, mid)
+                near = [x for x in at[max(0, i - 1) : i + 1] if max(low, a + 1, least) <= x <= min(high, b - 1)]
+                if near:
+                    return min(near, key=lambda x: (abs(x - mid), x)), level
+        return None
+
+    def bisect(self, length: int, fits, levels: int, force: bool, least: int = 0) -> list[tuple[int, int, str]] | None:
+        """(start, end, level of the cut before it) of ranges that fit, in order; without a boundary the midpoint if ``force``, else None."""
+        out, todo = [], [(0, length, "")]
+        while todo:
+            a, b, level = todo.pop()
+            if fits(a, b):
+                out.append((a, b, level))
+                continue
+            cut = self.cut(a, b, levels, least) or (((a + b) // 2, LEVELS[-1]) if force else None)
+            if cut is None:
+                return None
+            todo += [(cut[0], b, cut[1]), (a, cut[0], level)]
+        return out
+
+    def needed(self, length: int, limit: int) -> str:
+        """The coarsest level whose boundaries alone bisect the text until no unit, its trailing boundary left out, exceeds the limit."""
+        for k, level in enumerate(LEVELS[:-1]):
+            # a boundary of a coarser level is one of each finer level too
+            fits = lambda a, b: self.spans[k].get(b, b) - a <= limit  # noqa: E731, B023
+            if self.bisect(length, fits, k + 1, False) is not None:
+                return level
+        return LEVELS[-1]
+
+
 def needed_boundary(text: str, limit: int) -> str:
     """The coarsest level at which cutting everywhere leaves no unit above ``limit`` characters."""
-    for level, cut in zip(LEVELS, _CUTS):
-        at = 0
-        for m in cut.finditer(text):
-            if m.start() - at > limit:
-                break
-            at = m.end()
-        else:
-            if len(text) - at <= limit:
-                return level
-    return LEVELS[-1]
+    return _Marks(text).needed(len(text), limit)
 
 
-def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+def bisect_text(text: str, limit: int, overlap: int, marks: _Marks | None = None) -> list[tuple[int, int, str]]:
     """(start, end, level) of each piece, overlap included; level is that of the cut before the piece.
 
     The bodies without their overlaps are the text, in order. Each range longer
@@ -45,28 +78,8 @@ def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str
     """
     if len(text) <= limit:
         return [(0, len(text), "")] if text else []
-    body = limit - overlap
-    marks = [sorted({m.end() for m in cut.finditer(text)}) for cut in _CUTS]
-
-    def cut_of(a: int, b: int) -> tuple[int, str]:
-        mid, quarter = (a + b) // 2, (b - a) // 4
-        for low, high in ((mid - quarter, mid + quarter), (a + 1, b - 1)):
-            for level, at in zip(LEVELS, marks):
-                i = bisect_left(at, mid)
-                near = [x for x in at[max(0, i - 1) : i + 1] if max(low, a + 1) <= x <= min(high, b - 1)]
-                if near:
-                    return min(near, key=lambda x: (abs(x - mid), x)), level
-        return mid, LEVELS[-1]
-
-    pieces, todo = [], [(0, len(text), "")]
-    while todo:
-        a, b, level = todo.pop()
-        if b - a <= body:
-            pieces.append((max(0, a - overlap), b, level))
-        else:
-            at, of = cut_of(a, b)
-            todo += [(at, b, of), (a, at, level)]
-    return pieces
+    ranges = (marks or _Marks(text)).bisect(len(text), lambda a, b: b - a <= limit - overlap, len(_CUTS), True, overlap)  # the first piece is no shorter than the overlap
+    return [(max(0, a - overlap), b, level) for a, b, level in ranges]
 
 
 def split_oversized(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), limit: int = 4096, overlap: int = 200) -> DataFrame:
@@ -96,7 +109,8 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, keep: Sequence[st
             out = []
             heads = pdf[["id", *keep]].itertuples(index=False, name=None)
             for head, text in zip(heads, pdf["text"]):
-                pieces, level = bisect_text(text, limit, overlap), needed_boundary(text, limit)
+                marks = _Marks(text)
+                pieces, level = bisect_text(text, limit, overlap, marks), marks.needed(len(text), limit)
                 out += [(*head, k, len(pieces), a, text[a:b], of or None, level) for k, (a, b, of) in enumerate(pieces)]
             yield pd.DataFrame(out, columns=["id", *keep, "piece_no", "n_pieces", "start", "text", "cut", "boundary"])
 

@@ -7,20 +7,24 @@ from hypothesis import strategies as st
 
 from sparquill.llm import tokens
 from sparquill.llm.mixing import mix
-from sparquill.llm.packing import fill_report, first_fit_decreasing, pack
+from sparquill.llm.packing import contexts, fill_report, first_fit_decreasing, pack, pieces_of_sizes
 
 
-def test_very_long_texts_count_the_same():
-    text = "Retry the queue, bitte 检索 42 times. " * 20_000
-    assert len(text) > 2 * tokens._SLICE
-    assert tokens.count_tokens(text) == len(tokens._encoding(tokens.VOCABULARY).encode_ordinary(text))
-    assert tokens.count_tokens("") == 0
-    assert tokens.count_tokens("a" * 450_000) > 0
+@pytest.mark.parametrize("text", ["Retry the queue, bitte 检索 42 times. " * 20_000, "a" * 450_000, "检索" * 150_000, " " * 300_000 + "x", "=-" * 100_000, "\n" * 200_000, ""])
+def test_very_long_texts_count_whole(text):
+    encoding = tokens._encoding(tokens.VOCABULARY)
+    ids = encoding.encode_ordinary(text)
+    assert encoding.decode(ids) == text and tokens.count_tokens(text) == len(ids)
+    pieces = tokens.text_pieces(text, 2048)
+    assert [(a, b) for a, b, _, _ in pieces] == [(0 if k == 0 else pieces[k - 1][1], p[1]) for k, p in enumerate(pieces)]
+    assert sum(b - a for a, b, _, _ in pieces) == len(ids) and all(0 < b - a <= 2048 for a, b, _, _ in pieces)
+    assert "".join(text[c:d] for _, _, c, d in pieces) == text
+    assert all(encoding.decode(ids[a:b]) == text[c:d] for a, b, c, d in pieces)
 
 
 def test_counts(spark):
     df = spark.createDataFrame([(1, "hello world", "s"), (2, None, None), (3, "", "s"), (None, "hello", "s")], "d bigint, text string, source string").selectExpr("*", "7 AS id", "8 AS n_tokens")
-    assert sorted(((r.id or 0), r.n_tokens) for r in tokens.with_token_counts(df, "d", "text", ["source"]).collect()) == [(0, 1), (1, 2), (2, 0), (3, 0)]
+    assert sorted(((r.id or 0), r.n_tokens) for r in tokens.with_token_counts(df, "d", "text", ["source"], "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()) == [(0, 1), (1, 2), (2, 0), (3, 0)]
 
 
 @settings(max_examples=100, deadline=None)
@@ -39,7 +43,8 @@ def test_first_fit_by_hand(sizes):
 def test_packing(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([0, None, 3, 100, 5000, rng.randint(1, 2048)])) for i in range(300)] + [(None, 10), (None, 10), (7, 10)]
-    got = pack(spark.createDataFrame(rows, "id bigint, n_tokens int"), group_rows=100).collect()
+    packed = pack(pieces_of_sizes(spark.createDataFrame(rows, "id bigint, n_tokens int")), group_rows=100)
+    got = packed.collect()
     bins, sums = {}, {}
     for r in got:
         bins[r.bin_id] = bins.get(r.bin_id, 0) + r.n_tokens
@@ -47,14 +52,28 @@ def test_packing(spark):
         sums[r.id] = sums.get(r.id, 0) + r.n_tokens
     assert max(bins.values()) <= 2048 and sum(bins.values()) == sum(n or 0 for _, n in rows)
     assert all(sums[i] == n for i, n in rows if i is not None and n and i != 7)
-    report = fill_report(spark.createDataFrame(got)).first()
+    report = fill_report(packed).first()
     assert report.bins == len(bins) and report.bins <= report.least_bins * 1.1 + 4
     empty = spark.createDataFrame([], "id bigint, n_tokens int")
-    assert pack(empty).collect() == [] and fill_report(pack(empty)).first().bins == 0
+    assert pack(pieces_of_sizes(empty)).collect() == [] and fill_report(pack(pieces_of_sizes(empty))).first().bins == 0
     with pytest.raises(ValueError):
         first_fit_decreasing([5], 4)
 
 
+def test_contexts_hold_the_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["queue", "检索", "Zähler", "shard", "\U0001f600"]) for _ in range(rng.choice([0, 5, 40, 400])))) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "doc bigint, text string").selectExpr("*", "1 AS id", "2 AS pieces")
+    packed = pack(tokens.with_token_pieces(df, "doc", "text", 64), 64)
+    got = contexts(packed, df, "doc", "text").collect()
+    texts = {}
+    for r in got:
+        assert r.n_tokens <= 64
+        for item in r["items"]:
+            texts.setdefault(item.id, {})[item.piece_no] = item.text
+    assert {i: "".join(p[k] for k in sorted(p)) for i, p in texts.items()} == {i: t for i, t in rows if t}
+
+
 def documents(rng):
     rows = [(i, rng.choice([" Wiki", "wiki", "WIKI "]) if i < 900 else "rare" if i < 940 else None if i < 960 else "other", rng.randint(1, 400)) for i in range(1000)]
     return rows + [(2000, "wiki", None), (2001, "wiki", -4)]
