@@ -97,6 +97,17 @@ c AS (SELECT x.chunk_id AS chunk_id_a, y.chunk_id AS chunk_id_b, count(*) AS c F
 SELECT chunk_id_a, chunk_id_b FROM c JOIN n a ON a.chunk_id = chunk_id_a JOIN n b ON b.chunk_id = chunk_id_b WHERE c / (a.n + b.n - c) >= {threshold}"""
 
 
+_MEMBERS_SQL = """
+WITH RECURSIVE t AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(content_text), '[a-z0-9_]+|[一-鿿]') AS w, content_text FROM chunks WHERE chunk_id IS NOT NULL AND content_text IS NOT NULL),
+m AS (SELECT DISTINCT chunk_id, CASE WHEN len(w) = 0 THEN chr(1) || content_text ELSE array_to_string(w, ' ') END AS class, CASE WHEN len(w) >= 5 THEN w END AS w FROM t),
+k AS (SELECT class, min(chunk_id) AS class_id, any_value(w) AS w, count(*) AS copies FROM m GROUP BY 1),
+s AS (SELECT DISTINCT class_id, [w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]] AS s FROM (SELECT class_id, w, unnest(range(1, len(w) - 3)) AS i FROM k WHERE w IS NOT NULL)),
+n AS (SELECT class_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x.class_id AS a, y.class_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.class_id <> y.class_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n p ON p.class_id = a JOIN n q ON q.class_id = b WHERE c / (p.n + q.n - c) >= 0.8)
+"""
+
+
 # 3. oversized texts
 
 
@@ -136,17 +147,14 @@ _UNITS = {
 
 # 4. markup
 
-#: Sources that are sent to every executor at most (8 bytes each); with more, chunks and sources are shuffled.
-_BROADCAST_SOURCES = 1_000_000
-
 
 def _text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of markdown, word and pdf sources, a source having the format of its latest row."""
     sources = _table(spark, sf_dir, "knowledge_sources").groupBy("source_id").agg(F.max_by("format", "updated_at").alias("format"))
     sources = sources.filter(F.col("format").isin("markdown", "word", "pdf")).select("source_id")
-    few = sources.count() <= _BROADCAST_SOURCES
+    sources = Scratch(spark).keep(sources)  # so that its size is known: Catalyst broadcasts it below its threshold, and else shuffles
     chunks = _table(spark, sf_dir, "chunks").select("chunk_id", "source_id", "position_path", "content_text")
-    return chunks.join(F.broadcast(sources) if few else sources, "source_id", "left_semi")
+    return chunks.join(sources, "source_id", "left_semi")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +229,28 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per target: whether its draw is right as far as that can be told without the draw's own steps.
+
+    Drawn and reported tokens agree, no document is used more than allowed, and
+    the draw misses its budget by less than a document, or else uses every
+    document as often as allowed; all that was drawn is from the source.
+    """
+    sized = Scratch(spark).keep(_document_tokens(spark, sf_dir))
+    targets = _table(spark, sf_dir, "mix_targets")
+    drawn, report = mixing.mix(sized, targets)
+    own = sized.select("id", F.col("n_tokens").alias("n"), mixing.normal_source().alias("s"))
+    held = own.groupBy("s").agg(F.sum("n").alias("held"), F.max("n").alias("largest"))
+    total = sized.agg(F.sum("n_tokens").alias("total"))
+    got = drawn.join(own, "id").groupBy("source").agg(
+        F.sum(F.col("n") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most"), F.bool_and(F.col("s") == mixing.normal_source()).alias("own"),
+    )
+    rows = targets.withColumn("s", mixing.normal_source()).join(got, "source", "left").join(held, "s", "left").crossJoin(total).join(report.select("source", "drawn_tokens"), "source")  # total is one row
+    budget, tokens_ = F.col("target_share") * F.col("total"), F.coalesce("tokens", F.lit(0))
+    reached = F.when(F.coalesce("held", F.lit(0)) * F.col("max_repeats") >= budget, F.abs(tokens_ - budget) <= F.col("largest")).otherwise(tokens_ == F.coalesce("held", F.lit(0)) * F.col("max_repeats"))
+    return rows.select("source", reached.alias("reached"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), F.coalesce("own", F.lit(True)).alias("own_documents"), (tokens_ == F.col("drawn_tokens")).alias("as_reported"))
+
+
 # 8. stuffed pages
 
 
@@ -238,7 +268,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rejoined": p3_rejoined,
     "p4_found": p4_found, "p4_clean": p4_clean, "p4_wrappers": p4_wrappers,
     "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p6_contexts": p6_contexts, "p6_invariants": p6_invariants,
-    "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks,
     "p8_found": p8_found, "p8_evidence": p8_evidence,
 }
 
@@ -249,6 +279,10 @@ SQL = {
     "p1_daily": _runs_sql(f"day, {_MODE}") + "SELECT * FROM q",
     "p1_merged_days": _runs_sql(_MODE) + f"SELECT {_MODE}, n, {_floored('p50')} AS p50_low, {_floored('p95')} AS p95_low, {_floored('p99')} AS p99_low FROM q",
     "p2_found": _pairs_sql(3, 0.5, 20),
+    "p2_links": _MEMBERS_SQL + "SELECT chunk_id, class_id, copies, coalesce(d, 0) AS n_links FROM m JOIN k USING (class) LEFT JOIN (SELECT a AS class_id, count(*) AS d FROM e GROUP BY 1) USING (class_id)",
+    "p2_groups": _MEMBERS_SQL + """, r AS (SELECT class_id AS x, class_id AS g FROM k UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.x), g AS (SELECT x AS class_id, min(g) AS group_id FROM r GROUP BY 1)
+SELECT chunk_id, class_id, group_id FROM m JOIN k USING (class) JOIN g USING (class_id)""",
+    "p7_checks": "SELECT source, true AS reached, true AS within_repeats, true AS own_documents, true AS as_reported FROM mix_targets",
     "p6_invariants": "SELECT count(*) AS documents, sum(length(text)) AS chars, 0::BIGINT AS overfull, 0::BIGINT AS wrongly_cut, true AS well_filled FROM documents WHERE text <> ''",
     "p3_found": "WITH d AS (SELECT DISTINCT chunk_id, content_text FROM chunks WHERE length(content_text) > 4096)\nSELECT chunk_id, ['paragraph', 'line', 'sentence', 'word', 'none'][min(CASE "
     + " ".join(f"WHEN list_max(list_transform({units}, lambda x: length(x))) <= 4096 THEN {k}" for k, units in enumerate(_UNITS.values(), 1))
