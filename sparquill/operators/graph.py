@@ -31,29 +31,46 @@ def directed_edges(edges: DataFrame, direction: str = "bidirectional", relations
     return {"out": ahead, "in": back, "bidirectional": ahead.unionByName(back)}[direction]
 
 
-def expand(seeds: DataFrame, directed: DataFrame, hops: int = 2) -> DataFrame:
+def expand(seeds: DataFrame, directed: DataFrame, hops: int = 2, budget: int | None = None) -> DataFrame:
     """(qid, scope, doc, start, hop, weight, is_hard, path), the best path to each node a query's seeds reach.
 
     seeds: (qid, scope, doc). A path's weight is that of its last edge, 1 if hard
     and 0.3 if soft, halved per hop after the first; a path does not return to
     a node it left from, but may end at a seed. Hops are unrolled joins, at most
     three. Best: weight, then fewer hops, then the start, then the edges.
+
+    A path goes on from each node it may come to only as often as that can
+    matter: what follows depends on the last edge and on the nodes that must not
+    come again, so of all ways from a start to a node the best is kept, and at
+    the second hop the best two with a different node between. With ``budget`` a
+    query stops as soon as so many of its nodes outweigh all that further hops
+    can bring; ``within_budget`` of the result is the same with and without.
     """
-    step = lambda hop: F.when(F.col("is_hard"), HARD_WEIGHT).otherwise(SOFT_WEIGHT) * (DECAY ** (hop - 1))
-    edge = lambda hop: F.struct(F.lit(hop).alias("hop"), "edge_id", "relation_type", "direction", "is_hard")
-    front = seeds.select("qid", "scope", F.col("doc").alias("from")).distinct().join(directed, ["scope", "from"]).select(
-        "qid", "scope", F.col("from").alias("start"), F.col("to").alias("doc"), F.lit(1).alias("hop"), step(1).alias("weight"), "is_hard", F.array(edge(1)).alias("path"), F.array("from").alias("visited"),
-    )
-    reached = front
-    for hop in range(2, min(hops, MAX_HOP) + 1):
-        onward = front.drop("is_hard").withColumnRenamed("doc", "from").withColumnRenamed("hop", "__hop").join(directed, ["scope", "from"]).filter(~F.array_contains("visited", F.col("to")))
-        front = onward.select(
-            "qid", "scope", "start", F.col("to").alias("doc"), F.lit(hop).alias("hop"), step(hop).alias("weight"), "is_hard", F.concat("path", F.array(edge(hop))).alias("path"), F.concat("visited", F.array("from")).alias("visited"),
-        )
-        reached = reached.unionByName(front)
-    order = [F.col("weight").desc(), "hop", "start", F.array_join(F.transform("path", lambda e: e["edge_id"].cast("string")), ",")]
-    w = Window.partitionBy("qid", "scope", "doc").orderBy(*order)
-    return reached.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n", "visited")
+    query, ids = ["qid", "scope"], lambda path: F.array_join(F.transform(path, lambda e: e["edge_id"].cast("string")), ",")
+    front = seeds.select(*query, F.col("doc").alias("start"), F.col("doc").alias("from"), F.lit(None).cast(seeds.schema["doc"].dataType).alias("between"), F.array().alias("path")).distinct()
+    best: DataFrame | None = None
+    hops = min(hops, MAX_HOP)
+    for hop in range(1, hops + 1):
+        weight = F.when(F.col("is_hard"), HARD_WEIGHT).otherwise(SOFT_WEIGHT) * (DECAY ** (hop - 1))
+        edge = F.struct(F.lit(hop).alias("hop"), "edge_id", "relation_type", "direction", "is_hard")
+        path = F.array(edge) if hop == 1 else F.concat("path", F.array(edge))
+        ways = front.join(directed, ["scope", "from"])
+        if hop > 1:
+            ways = ways.filter((F.col("to") != F.col("start")) & (F.col("between").isNull() | (F.col("to") != F.col("between"))))
+        ways = ways.select(*query, "start", "from", F.col("to").alias("doc"), weight.alias("weight"), "is_hard", path.alias("path"))
+        found = ways.groupBy(*query, "doc").agg(F.min(F.struct((-F.col("weight")).alias("w"), F.lit(hop).alias("hop"), "start", ids(F.col("path")).alias("edges"), "is_hard", "path")).alias("b"))
+        best = found if best is None else best.unionByName(found).groupBy(*query, "doc").agg(F.min("b").alias("b"))
+        if hop == hops:
+            break
+        onward = ways.groupBy(*query, "start", "doc", "from").agg(F.min(F.struct(ids(F.col("path")).alias("edges"), "path")).alias("p"))
+        if hop > 1:  # the node between must not come again: with two of them one is always left
+            w = Window.partitionBy(*query, "start", "doc").orderBy("p.edges")
+            onward = onward.withColumn("n", F.row_number().over(w)).filter("n <= 2")
+        front = onward.select(*query, "start", F.col("doc").alias("from"), F.when(F.lit(hop > 1), F.col("from")).alias("between"), F.col("p.path").alias("path"))
+        if budget is not None:
+            ahead = best.groupBy(*query).agg(F.count_if(-F.col("b.w") > HARD_WEIGHT * DECAY**hop).alias("n")).filter(F.col("n") >= min(budget, MAX_BUDGET))
+            front = front.join(ahead.select(*query), query, "left_anti")
+    return best.select(*query, "doc", "b.start", "b.hop", (-F.col("b.w")).alias("weight"), "b.is_hard", "b.path")
 
 
 def within_budget(expanded: DataFrame, budget: int = 10) -> DataFrame:

@@ -49,51 +49,59 @@ def doc_weights(counts: DataFrame, by: list[str] | None = None, cfg: Bm25 = Bm25
     return rows.select("doc", *by, "term", (F.col("idf") * saturation).alias("weight"))
 
 
-def query_weights(queries: DataFrame, counts: DataFrame, weighting: str = "idf", cfg: Bm25 = Bm25()) -> DataFrame:
-    """(qid, term, wq) of queries (qid, query): BM25 weights of the query itself, or 1 for each term in 'binary'."""
-    own = term_counts(queries, "qid", "query").filter("term IS NOT NULL")
-    known = own.join(term_stats(counts), "term")
-    if weighting == "binary":
-        return known.select(F.col("doc").alias("qid"), "term", F.lit(1.0).alias("wq"))
-    size = corpus_size(counts)
-    saturation = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
-    return known.crossJoin(F.broadcast(size)).select(F.col("doc").alias("qid"), "term", (F.col("idf") * saturation).alias("wq"))
-
-
-#: Query terms that are sent to every executor at most; with more, they are joined by shuffling.
+#: Rows of query terms that are sent to every executor at most; with more, they are joined by shuffling.
 BROADCAST_TERMS = 1_000_000
 
 
-def search(queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "idf", cfg: Bm25 = Bm25(), scopes: DataFrame | None = None, allowed: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+def search(
+    queries: DataFrame, counts: DataFrame, k: int = 5, weighting: str = "idf", cfg: Bm25 = Bm25(), scopes: DataFrame | None = None, allowed: DataFrame | None = None,
+    only: DataFrame | None = None, broadcast_terms: int = BROADCAST_TERMS,
+) -> DataFrame:
     """(qid, doc, score, rank): the k best documents of each query, ties by the smaller id; scores have six decimals.
 
-    With ``scopes`` (doc, scope) and ``allowed`` (qid, scope) a query sees the
-    documents of its scopes only, before the cut to k, and one without scope none.
-    With ``only`` (doc) no other document is seen by any query; the statistics
-    stay those of all of ``counts``.
-
-    Equal queries are searched once. The weights are laid out by document, so
-    that with few enough query terms the scores are summed where they arise and
-    only each partition's k best of a query are shuffled.
+    A query's terms are weighted like a document's, or with 1 for each in
+    'binary'. With ``scopes`` (doc, scope) and ``allowed`` (qid, scope) a query
+    sees the documents of its scopes only, and one without scope none. With
+    ``only`` (doc) no other document is seen by any query. Either way the
+    statistics stay those of all of ``counts``.
+
+    Equal queries are searched once. Only the postings of the queries' terms
+    leave the scan; df and idf are counted for those terms alone. They are laid
+    out by document, so that with few enough query terms the scores are summed
+    where they arise and only each partition's k best of a query are shuffled.
+    Scopes and ``only`` are applied before anything is scored.
     """
     scratch = Scratch(queries.sparkSession)
     texts = queries.groupBy("query").agg(F.min("qid").alias("first"))
-    asked = scratch.keep(query_weights(texts.select(F.col("first").alias("qid"), "query"), counts, weighting, cfg))
-    few = asked.count() <= BROADCAST_TERMS
-    weights = doc_weights(counts, cfg=cfg)
-    weights = weights.repartition("doc") if few else weights
+    own = scratch.keep(term_counts(texts, "first", "query").filter("term IS NOT NULL").withColumnRenamed("doc", "first"))
+    # the terms are kept, so that their size is known and they are broadcast where they are few
+    postings = scratch.keep(counts.join(scratch.keep(own.select("term").distinct()), "term").select("doc", "dl", "term", "tf"))
+    size = F.broadcast(scratch.keep(corpus_size(counts)))  # one row
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    stats = scratch.keep(postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(size).select("term", idf, "avgdl"))
+    saturation = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
+    wq = F.lit(1.0) if weighting == "binary" else F.col("idf") * saturation
+    asked = own.join(stats, "term").select("first", "term", wq.alias("wq"))
+    weights = postings.join(stats, "term").select("doc", "term", (F.col("idf") * saturation).alias("weight"))
+    on, named = ["term"], queries.select("qid", "query").distinct().join(texts, "query").select("qid", "first")
     if only is not None:
         weights = weights.join(only.select("doc"), "doc", "left_semi")
-    hits = weights.join(F.broadcast(asked), "term") if few else weights.join(asked, "term")
-    scored = hits.groupBy("doc", "qid").agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
-    named = queries.select("qid", "query").distinct().join(texts, "query").select("qid", "first")
-    scored = scored.withColumnRenamed("qid", "first")
     if allowed is not None:
-        seen = scored.join(scopes.select("doc", "scope"), "doc").join(named.join(allowed.select("qid", "scope").distinct(), "qid"), ["first", "scope"])
-        return top_k(seen.select("qid", "doc", "score"), "qid", k)
-    return named.join(top_k(scored, "first", k), "first").select("qid", "doc", "score", "rank")
-
-
-def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), "doc")
+        named = named.join(allowed.select("qid", "scope").distinct(), "qid")
+        asked = asked.join(named.select("first", "scope").distinct(), "first")
+        weights = weights.join(scopes.select("doc", "scope").distinct(), "doc")
+        on.append("scope")
+    asked = scratch.keep(asked)
+    few = asked.count() <= broadcast_terms
+    hits = weights.repartition("doc").join(F.broadcast(asked), on) if few else weights.join(asked, on)
+    group = ["first", *on[1:]]
+    scored = hits.groupBy("doc", *group).agg(F.round(F.sum(F.col("wq") * F.col("weight")), 6).alias("score"))
+    best = top_k(scored, group, k)
+    if allowed is not None:  # the best of all of a query's scopes
+        return top_k(named.join(best.drop("rank"), group).select("qid", "doc", "score"), "qid", k)
+    return named.join(best, "first").select("qid", "doc", "score", "rank")
+
+
+def top_k(scored: DataFrame, key: str | list[str], k: int) -> DataFrame:
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.col("score").desc(), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

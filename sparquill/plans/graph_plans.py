@@ -38,12 +38,17 @@ def _expand(spark, sf_dir, hops, direction="out", relations=None):
 
 
 def graph_edges(spark, sf_dir):
-    return edges(spark, sf_dir).groupBy("relation_type", "is_hard").agg(F.count("*").alias("edges"), F.countDistinct("target").alias("targets"))
+    return edges(spark, sf_dir).select("source", "target", "edge_id", "relation_type", "is_hard")
 
 
 def graph_directed_edges(spark, sf_dir):
-    both = graph.directed_edges(edges(spark, sf_dir))
-    return both.groupBy("relation_type", "direction", "is_hard").agg(F.count("*").alias("edges"), F.countDistinct("from").alias("nodes"))
+    return graph.directed_edges(edges(spark, sf_dir)).drop("scope")
+
+
+def graph_default_relations(spark, sf_dir):
+    """What an expansion without named relations may walk: the stored edges of the default relations, each way."""
+    both = graph.directed_edges(edges(spark, sf_dir), relations=graph.DEFAULT_RELATIONS)
+    return both.groupBy("relation_type", "direction").agg(F.count("*").alias("edges"))
 
 
 def graph_expand_1hop(spark, sf_dir):
@@ -54,12 +59,22 @@ def graph_expand_2hop(spark, sf_dir):
     return _expand(spark, sf_dir, 2)
 
 
+def graph_expand_2hop_bidirectional(spark, sf_dir):
+    return _expand(spark, sf_dir, 2, "bidirectional", ("fk_references",))
+
+
+def graph_expand_3hop_bidirectional(spark, sf_dir):
+    """The default expansion: every relation, both ways, three hops, through hubs as customers, parts and suppliers are, within the budget."""
+    out = graph.expand(_seeds(spark, sf_dir), graph.directed_edges(edges(spark, sf_dir), relations=graph.DEFAULT_RELATIONS), 3, budget=10)
+    return graph.within_budget(out, 10).select("qid", "doc", "hop", F.round("weight", 6).alias("weight"), "graph_rank")
+
+
 def graph_expand_hard_only(spark, sf_dir):
     return _expand(spark, sf_dir, 3, relations=("fk_references",))
 
 
 def graph_expand_3hop_budget(spark, sf_dir):
-    out = graph.expand(_seeds(spark, sf_dir), graph.directed_edges(edges(spark, sf_dir), "out"), 3)
+    out = graph.expand(_seeds(spark, sf_dir), graph.directed_edges(edges(spark, sf_dir), "out"), 3, budget=10)
     return graph.within_budget(out, 10).select("qid", "doc", "hop", F.round("weight", 6).alias("weight"), "graph_rank")
 
 
@@ -70,7 +85,7 @@ def graph_neighbours(spark, sf_dir):
 
 def graph_path_steps(spark, sf_dir):
     out = graph.expand(_seeds(spark, sf_dir), graph.directed_edges(edges(spark, sf_dir), "out"), 2)
-    return graph.path_rows(out).groupBy("hop", "relation_type", "direction", "is_hard").agg(F.count("*").alias("steps"), F.countDistinct("edge_id").alias("edges"))
+    return graph.path_rows(out)
 
 
 def graph_same_part(spark, sf_dir):
@@ -88,7 +103,7 @@ def _soft(spark, sf_dir):
 
 
 def soft_states(spark, sf_dir):
-    return _soft(spark, sf_dir).groupBy("lifecycle_state").agg(F.count("*").alias("relations"))
+    return _soft(spark, sf_dir).select("edge_id", "source", "target", "lifecycle_state")
 
 
 def soft_supersede(spark, sf_dir):
@@ -98,7 +113,7 @@ def soft_supersede(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_edges, graph_directed_edges, graph_expand_1hop, graph_expand_2hop, graph_expand_hard_only, graph_expand_3hop_budget, graph_neighbours, graph_path_steps, graph_same_part, soft_states, soft_supersede)
+    for f in (graph_edges, graph_directed_edges, graph_default_relations, graph_expand_1hop, graph_expand_2hop, graph_expand_2hop_bidirectional, graph_expand_3hop_bidirectional, graph_expand_hard_only, graph_expand_3hop_budget, graph_neighbours, graph_path_steps, graph_same_part, soft_states, soft_supersede)
 }
 
 _E = "WITH RECURSIVE e AS (SELECT source, target, relation_type, is_hard, CAST('0x' || substr(md5(source || '-' || target), 1, 15) AS BIGINT) AS edge_id FROM (" + " UNION ALL ".join(
@@ -122,18 +137,21 @@ def _walk(directed: str, hops: int) -> str:
 
 _SOFT = "WITH s AS (SELECT l_partkey AS source, l_suppkey AS target, round(l_discount * 10, 3)::DECIMAL(6,3) AS confidence, l_orderkey * 10 + l_linenumber AS edge_id FROM lineitem), t AS (SELECT *, CASE WHEN confidence >= 0.6 THEN 'active' ELSE 'inferred' END AS state FROM s)"
 SQL = {
-    "graph_edges": _E + " SELECT relation_type, is_hard, count(*) AS edges, count(DISTINCT target) AS targets FROM e GROUP BY ALL",
-    "graph_directed_edges": _E + f" SELECT relation_type, direction, is_hard, count(*) AS edges, count(DISTINCT f) AS nodes FROM ({_AHEAD} UNION ALL {_BACK}) GROUP BY ALL",
+    "graph_edges": _E + " SELECT source, target, edge_id, relation_type, is_hard FROM e",
+    "graph_directed_edges": _E + f""" SELECT f AS "from", t AS "to", edge_id, relation_type, direction, is_hard FROM ({_AHEAD} UNION ALL {_BACK})""",
+    "graph_default_relations": _E + f" SELECT relation_type, direction, count(*) AS edges FROM ({_AHEAD} UNION ALL {_BACK}) GROUP BY ALL",
+    "graph_expand_2hop_bidirectional": _walk(f"{_AHEAD} WHERE relation_type = 'fk_references' UNION ALL {_BACK} WHERE relation_type = 'fk_references'", 2) + "SELECT * FROM b",
+    "graph_expand_3hop_bidirectional": _walk(f"{_AHEAD} UNION ALL {_BACK}", 3) + "SELECT qid, doc, hop, weight, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, hop, doc) AS graph_rank FROM b QUALIFY graph_rank <= 10",
     "graph_expand_1hop": _walk(f"{_AHEAD} UNION ALL {_BACK}", 1) + "SELECT * FROM b",
     "graph_expand_2hop": _walk(_AHEAD, 2) + "SELECT * FROM b",
     "graph_expand_hard_only": _walk(_AHEAD + " WHERE relation_type = 'fk_references'", 3) + "SELECT * FROM b",
     "graph_expand_3hop_budget": _walk(_AHEAD, 3) + "SELECT qid, doc, hop, weight, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, hop, doc) AS graph_rank FROM b QUALIFY graph_rank <= 10",
     "graph_neighbours": _walk(_AHEAD, 1) + "SELECT qid, doc, weight, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, hop, doc) AS graph_rank FROM b QUALIFY graph_rank <= 3",
     "graph_path_steps": _walk(_AHEAD, 2) + """, p AS (SELECT qid, doc, CAST(unnest(string_split(edges, ',')) AS BIGINT) AS edge_id, unnest(range(1, len(string_split(edges, ',')) + 1)) AS hop FROM b)
-SELECT hop::INT AS hop, relation_type, 'out' AS direction, is_hard, count(*) AS steps, count(DISTINCT edge_id) AS edges FROM p JOIN (SELECT DISTINCT edge_id, relation_type, is_hard FROM e) USING (edge_id) GROUP BY ALL""",
+SELECT qid, doc, hop::INT AS hop, edge_id, relation_type, 'out' AS direction, is_hard FROM p JOIN (SELECT DISTINCT edge_id, relation_type, is_hard FROM e) USING (edge_id)""",
     "graph_same_part": _E + f""", p AS (SELECT o_orderkey AS qid, target FROM orders JOIN e ON source = o_orderkey WHERE o_orderkey % 50 = 0 AND target BETWEEN {_PART} AND {_SUPPLIER - 1})
 SELECT qid, count(DISTINCT target) AS parts, count(DISTINCT source) FILTER (source <> qid) AS orders FROM p LEFT JOIN e USING (target) GROUP BY 1""",
-    "soft_states": _SOFT + " SELECT state AS lifecycle_state, count(*) AS relations FROM t GROUP BY 1",
+    "soft_states": _SOFT + " SELECT edge_id, source, target, state AS lifecycle_state FROM t",
     "soft_supersede": _SOFT + """, m AS (SELECT *, max({'confidence': confidence, 'edge_id': edge_id}) FILTER (state = 'active') OVER (PARTITION BY source, target) AS b FROM t)
 SELECT edge_id, CASE WHEN state = 'active' AND b.confidence > confidence THEN 'superseded' ELSE state END AS lifecycle_state, CASE WHEN state = 'active' AND b.confidence > confidence THEN b.edge_id END AS superseded_by FROM m""",
 }

@@ -7,11 +7,11 @@ logged evidence.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as txt
-from sparquill.operators import dense, evaluate, fusion, sparse
+from sparquill.operators import dense, evaluate, fusion, graph, sparse
 from sparquill.scratch import Scratch
 from sparquill.session import table
 
@@ -120,6 +120,34 @@ def hybrid_evidence(spark, sf_dir):
     )
 
 
+def _chunk_edges(spark, sf_dir):
+    """Links between chunks: a part and its parent (hard), and neighbours in the evidence of one run (soft), each once."""
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "parent_chunk_id", "knowledge_scope_id")
+    scope = chunks.select(F.col("chunk_id").alias("source"), F.col("knowledge_scope_id").alias("scope")).distinct()
+    there = scope.select(F.col("source").alias("target"), F.col("scope").alias("of"))
+    parents = chunks.filter("parent_chunk_id IS NOT NULL AND parent_chunk_id <> chunk_id").select(F.col("chunk_id").alias("source"), F.col("parent_chunk_id").alias("target"), F.lit(True).alias("is_hard"))
+    refs = table(spark, sf_dir, "retrieval_runs").filter(F.size("evidence_ref_ids") > 1).select(F.transform("evidence_ref_ids", lambda x: x.cast("bigint")).alias("r"))
+    beside = refs.select(F.explode(F.zip_with(F.slice("r", 1, F.size("r") - 1), F.slice("r", 2, F.size("r")), lambda a, b: F.struct(a.alias("source"), b.alias("target")))).alias("p"))
+    beside = beside.select("p.source", "p.target", F.lit(False).alias("is_hard")).filter("source <> target")
+    both = parents.unionByName(beside).distinct().join(scope, "source").join(there, "target").filter(F.col("scope") == F.col("of"))
+    kind = F.when(F.col("is_hard"), "part_of").otherwise("inferred")
+    digest = F.substring(F.md5(F.concat_ws("-", "source", "target", "is_hard")), 1, 15)
+    return both.select("scope", "source", "target", "is_hard", kind.alias("relation_type"), F.lit("out").alias("direction"), F.conv(digest, 16, 10).cast("bigint").alias("edge_id"))
+
+
+def hybrid_graph_evidence(spark, sf_dir):
+    """Three lists fused: logged and lexical results, and what two hops over chunk links, both ways, reach from them."""
+    scratch = Scratch(spark)
+    lists = scratch.keep(_lists(spark, sf_dir))
+    scope = corpus(spark, sf_dir).select(F.col("chunk_id").alias("doc"), F.col("knowledge_scope_id").alias("scope"))
+    seeds = lists.select("qid", "doc").distinct().join(scope, "doc")
+    reached = graph.within_budget(graph.expand(seeds, graph.directed_edges(scratch.keep(_chunk_edges(spark, sf_dir))), 2, budget=10), 10)
+    w = Window.partitionBy("qid").orderBy(F.col("weight").desc(), "hop", "doc")  # a query's scopes share one list
+    ranked = reached.select("qid", "doc", F.row_number().over(w).alias("rank"), F.lit("graph").alias("retriever")).filter(F.col("rank") <= 10)
+    fused = fusion.rrf(lists.unionByName(ranked))
+    return fused.select("qid", F.col("doc").alias("chunk_id"), "dense_rank", "sparse_rank", "graph_rank", "fused_score", "final_rank")
+
+
 def merged_rounds(spark, sf_dir):
     """Idf-weighted and binary search as two sub-problems of each query."""
     one = bm25_topk(spark, sf_dir).select("qid", F.col("chunk_id").alias("doc"), "score", F.lit(None).cast("double").alias("dense_score"), F.col("score").alias("sparse_score"), F.lit(1).alias("sub_problem_id"), F.array(F.lit("sparse")).alias("retrievers"))
@@ -186,7 +214,7 @@ def collection_dimension(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, term_stats_by_scope, term_stats_by_source, doc_weights, bm25_topk, bm25_topk_binary, bm25_topk_scoped, scope_leakage, rrf_fused, per_source_cap, hybrid_evidence, merged_rounds,
+        term_stats, term_stats_by_scope, term_stats_by_source, doc_weights, bm25_topk, bm25_topk_binary, bm25_topk_scoped, scope_leakage, rrf_fused, per_source_cap, hybrid_evidence, hybrid_graph_evidence, merged_rounds,
         context_selection, retrieval_metrics, metrics_by_mode, rank_deltas, quality_gate, dense_topk, dense_topk_scoped, dense_topk_indexed, collection_dimension,
     )
 }
@@ -223,6 +251,14 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC,
 """
 
 
+#: Fusion of the logged list and the best 2 * K published chunks: the published filter comes before the cut.
+_PUBLISHED = f"""pb AS (SELECT DISTINCT chunk_id FROM chunks JOIN versions USING (version_id) WHERE versions.status = 'published'),
+b2 AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY si DESC, chunk_id) AS rank FROM sc WHERE chunk_id IN (FROM pb) QUALIFY rank <= {2 * K}),
+p0 AS (SELECT qid, chunk_id, lg.rank AS dense_rank, b2.rank AS sparse_rank FROM lg FULL JOIN b2 USING (qid, chunk_id)),
+pf AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0), 9) AS fused_score FROM p0),
+pr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, CAST(chunk_id AS VARCHAR)) AS final_rank FROM pf)"""
+
+
 def _per_query(ranked: str) -> str:
     return f"""
 SELECT qid, mode, min(r.rank) AS first_rank, count(g.chunk_id) AS n,
@@ -254,11 +290,27 @@ SELECT qid, sc.chunk_id, si AS score, row_number() OVER (PARTITION BY qid ORDER
 SELECT c.knowledge_scope_id AS scope, count(*) AS leaked FROM bi JOIN c USING (chunk_id) JOIN a USING (qid) WHERE a.scope <> c.knowledge_scope_id GROUP BY 1""",
     "rrf_fused": _SEARCH + "SELECT *, concat_ws('+', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN sparse_rank IS NOT NULL THEN 'sparse' END) AS retrievers FROM fr",
     "per_source_cap": _SEARCH + "SELECT qid, chunk_id, source_id, final_rank, row_number() OVER (PARTITION BY qid, source_id ORDER BY final_rank) AS in_source FROM fr JOIN c USING (chunk_id) QUALIFY in_source <= 2",
-    "hybrid_evidence": _SEARCH + """, h AS (SELECT DISTINCT chunk_id, source_id, version_id, knowledge_scope_id, content_text, position_path FROM chunks),
-e AS (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY final_rank) AS m FROM fr JOIN h USING (chunk_id) JOIN (SELECT DISTINCT version_id, version_number FROM versions WHERE status = 'published') USING (version_id)
+    "hybrid_evidence": _SEARCH + f""", h AS (SELECT DISTINCT chunk_id, source_id, version_id, knowledge_scope_id, content_text, position_path FROM chunks),
+{_PUBLISHED},
+e AS (SELECT *, row_number() OVER (PARTITION BY qid, source_id ORDER BY final_rank) AS m FROM pr JOIN h USING (chunk_id) JOIN (SELECT DISTINCT version_id, version_number FROM versions WHERE status = 'published') USING (version_id)
   LEFT JOIN (SELECT DISTINCT scope_id AS knowledge_scope_id, scope_type FROM scopes) USING (knowledge_scope_id) QUALIFY m <= 5)
 SELECT qid, CAST(chunk_id AS VARCHAR) AS evidence_id, substr(content_text, 1, 500) AS content_excerpt, version_number AS source_version, position_path AS source_position, knowledge_scope_id, scope_type,
   round(fused_score, 4) AS score, least(1, greatest(0, round(fused_score, 4))) AS relevance_score FROM e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY final_rank) <= 5""",
+    "hybrid_graph_evidence": _SEARCH.replace("WITH c AS", "WITH RECURSIVE c AS") + """, sx AS (SELECT DISTINCT chunk_id, knowledge_scope_id AS scope FROM chunks),
+rr AS (SELECT list_transform(evidence_ref_ids, lambda x: CAST(x AS BIGINT)) AS r FROM retrieval_runs WHERE len(evidence_ref_ids) > 1),
+e0 AS (SELECT chunk_id AS source, parent_chunk_id AS target, true AS is_hard FROM chunks WHERE parent_chunk_id <> chunk_id
+  UNION SELECT * FROM (SELECT r[i] AS source, r[i + 1] AS target, false FROM (SELECT r, unnest(range(1, len(r))) AS i FROM rr)) WHERE source <> target),
+e AS (SELECT x.scope, source, target, is_hard, CAST('0x' || substr(md5(source || '-' || target || '-' || is_hard), 1, 15) AS BIGINT) AS edge_id FROM e0 JOIN sx x ON x.chunk_id = source JOIN sx y ON y.chunk_id = target WHERE x.scope = y.scope),
+dg AS (SELECT scope, source AS f, target AS t, is_hard, edge_id FROM e UNION ALL SELECT scope, target, source, is_hard, edge_id FROM e),
+sd AS (SELECT DISTINCT qid, chunk_id, c.knowledge_scope_id AS scope FROM f0 JOIN c USING (chunk_id)),
+x AS (SELECT qid, sd.scope, t AS doc, f AS start, 1 AS hop, CASE WHEN is_hard THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS weight, edge_id::VARCHAR AS edges, [f] AS visited FROM sd JOIN dg d ON f = chunk_id AND d.scope = sd.scope
+  UNION ALL SELECT qid, x.scope, t, start, hop + 1, CASE WHEN d.is_hard THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END * pow(0.5::DOUBLE, hop), edges || ',' || d.edge_id::VARCHAR, list_append(visited, f) FROM x JOIN dg d ON d.f = x.doc AND d.scope = x.scope WHERE hop < 2 AND NOT list_contains(visited, t)),
+b AS (SELECT qid, scope, doc, weight, hop FROM x QUALIFY row_number() OVER (PARTITION BY qid, scope, doc ORDER BY weight DESC, hop, start, edges) = 1),
+bg AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid, scope ORDER BY weight DESC, hop, doc) <= 10),
+gr AS (SELECT qid, doc AS chunk_id, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, hop, doc) AS graph_rank FROM bg QUALIFY graph_rank <= 10),
+g0 AS (SELECT qid, chunk_id, dense_rank, sparse_rank, graph_rank FROM f0 FULL JOIN gr USING (qid, chunk_id)),
+g1 AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) + coalesce(1.0::DOUBLE / (60 + graph_rank), 0), 9) AS fused_score FROM g0)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, graph_rank NULLS LAST, CAST(chunk_id AS VARCHAR)) AS final_rank FROM g1""",
     "merged_rounds": _SEARCH + f"""SELECT qid, chunk_id, b.score AS score, sub_problems, retrievers, row_number() OVER (PARTITION BY qid ORDER BY b.score DESC, b.dense_score DESC NULLS LAST, b.sparse_score DESC NULLS LAST, CAST(chunk_id AS VARCHAR)) AS merge_rank
 FROM (SELECT qid, chunk_id, first({{'score': score, 'dense_score': dense_score, 'sparse_score': sparse_score}} ORDER BY score DESC, dense_score DESC NULLS LAST, sparse_score DESC NULLS LAST) AS b,
   string_agg(DISTINCT sub::VARCHAR, ',' ORDER BY sub::VARCHAR) AS sub_problems, string_agg(DISTINCT retriever, '+' ORDER BY retriever) AS retrievers FROM {_ROUNDS} GROUP BY ALL)""",
