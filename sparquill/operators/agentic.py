@@ -17,22 +17,33 @@ def clamp(value: Column, low: int, high: int) -> Column:
 
 
 def harden_sub_problems(plans: DataFrame, queries: DataFrame) -> DataFrame:
-    """Sub-problems (qid, ord, query, signals, directions, hop) made safe, after the original query as number 1.
-
-    Unknown signals go, none left means dense and sparse; a graph signal without
-    valid directions has all of them; a hop outside 1..3 is 2; a sub-problem
-    without text, or with that of the original query, is left out.
+    """Sub-problems (qid, ord, query, signals, directions, hop) made safe, with the original query always among them.
+
+    Unknown signals go, none left means dense. One unknown direction gives the
+    sub-problem all of them, and so do none with a graph signal. A hop outside
+    1..3 is 2. A sub-problem without text, or with that of the original query,
+    is left out. Of two and more the original query goes ahead as number 1, with
+    dense and sparse signals; a single one asks the original query itself; with
+    none the original query is asked by dense search.
     """
-    allowed = lambda col, names: F.array_intersect(F.coalesce(F.col(col), F.array().cast("array<string>")), F.array(*(F.lit(n) for n in names)))
-    default = F.array(F.lit("dense"), F.lit("sparse"))
-    anchor = queries.select("qid", F.lit(-1).alias("ord"), F.col("query"), default.alias("signals"), F.array().cast("array<string>").alias("directions"), F.lit(2).alias("hop"))
+    strings = lambda col: F.coalesce(F.col(col), F.array().cast("array<string>"))
+    names = lambda values: F.array(*(F.lit(v) for v in values))
+    known = F.array_intersect(strings("signals"), names(SIGNALS))
     text = queries.select("qid", F.col("query").alias("whole"))
     kept = plans.join(text, "qid").filter(F.trim(F.coalesce("query", F.lit(""))) != "").filter("query <> whole")
-    signals = F.when(F.size(allowed("signals", SIGNALS)) == 0, default).otherwise(allowed("signals", SIGNALS))
-    kept = kept.withColumn("signals", signals)
-    valid = F.when(F.size(allowed("directions", DIRECTIONS)) == 0, F.array(*(F.lit(d) for d in DIRECTIONS))).otherwise(allowed("directions", DIRECTIONS))
-    directions = F.when(F.array_contains("signals", "graph"), valid).otherwise(F.array().cast("array<string>"))
-    kept = kept.select("qid", "ord", "query", "signals", directions.alias("directions"), F.when(F.col("hop").between(1, 3), F.col("hop")).otherwise(2).alias("hop"))
+    kept = kept.withColumn("signals", F.when(F.size(known) == 0, names(("dense",))).otherwise(known))
+    given = F.when((F.size(strings("directions")) == 0) & F.array_contains("signals", "graph"), names(DIRECTIONS)).otherwise(strings("directions"))
+    sound = F.size(F.array_except(strings("directions"), names(DIRECTIONS))) == 0
+    hop = F.when(F.col("hop").between(1, 3), F.col("hop")).otherwise(2)
+    kept = kept.select("qid", "ord", "query", "signals", F.when(sound, given).otherwise(names(DIRECTIONS)).alias("directions"), hop.alias("hop"), "whole")
+    kept = kept.withColumn("n", F.count("*").over(Window.partitionBy("qid")))
+    counts = queries.join(kept.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n <> 1")
+    alone = F.col("n") == 0
+    anchor = counts.select(
+        "qid", F.lit(-1).alias("ord"), "query", F.when(alone, names(("dense",))).otherwise(names(("dense", "sparse"))).alias("signals"),
+        F.when(alone, names(DIRECTIONS)).otherwise(F.array().cast("array<string>")).alias("directions"), F.lit(2).alias("hop"),
+    )
+    kept = kept.select("qid", "ord", F.when(F.col("n") == 1, F.col("whole")).otherwise(F.col("query")).alias("query"), "signals", "directions", "hop")
     w = Window.partitionBy("qid").orderBy("ord", "query")
     return anchor.unionByName(kept).withColumn("sub_problem_id", F.row_number().over(w)).drop("ord")
 
@@ -89,6 +100,18 @@ def ledger(candidates: DataFrame, key: str = "qid") -> DataFrame:
     )
 
 
+def entries_of(ledger: DataFrame, wanted: DataFrame, key: str = "qid") -> DataFrame:
+    """The ledger's entries of each wanted (request, evidence_id), the pair that results carry outside."""
+    return ledger.join(wanted.select(key, "evidence_id").distinct(), [key, "evidence_id"], "left_semi")
+
+
+def llm_cost(calls: DataFrame, price_per_million: float, prompt: str = "prompt_chars", completion: str = "completion_chars", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., calls, chars, tokens, cost): three characters are taken for a token, cost has six decimals."""
+    total = calls.groupBy(*by).agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0))), F.lit(0)).cast("bigint").alias("chars"))
+    tokens = F.col("chars") / 3.0
+    return total.select(*by, "calls", "chars", F.round(tokens, 2).alias("tokens"), F.round(tokens / 1e6 * price_per_million, 6).alias("cost"))
+
+
 def valid_selections(rows: DataFrame) -> DataFrame:
     """Selections whose ledger id is a number and whose decision is known."""
     return rows.filter(F.col("ledger_id").rlike("^[0-9]+$") & F.col("decision").isin("selected", "truncated", "deduped"))

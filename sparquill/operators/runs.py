@@ -34,11 +34,28 @@ def status_distribution(runs: DataFrame) -> DataFrame:
     return runs.groupBy("instance_mode", "completion_status").agg(F.count("*").alias("requests"))
 
 
+def histogram_percentiles(counts: DataFrame, by: list[str], value: str = "v", count: str = "c", points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(by.., p50, p95, ...): interpolated percentiles of values that are given with how often they occur.
+
+    Histograms add up, and no list of values is held: the two values around a
+    rank are those whose running counts enclose it.
+    """
+    w = Window.partitionBy(*by)
+    upto = F.sum(count).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.withColumn("upto", upto).withColumn("n", F.sum(count).over(w))
+    at = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col(count) <= rank), F.col(value)))
+    out = []
+    for p in points:
+        rank = (F.col("n") - 1) * F.lit(p)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        out.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"p{round(p * 100)}"))
+    return rows.groupBy(*by).agg(*out)
+
+
 def latency(runs: DataFrame) -> DataFrame:
     """Interpolated p50 and p95 of usable durations by tool, rounded half to even."""
-    usable = runs.filter("duration_ms >= 0 AND duration_ms < 2147483647")
-    cols = [F.bround(F.percentile("duration_ms", F.lit(p)), 0).cast("bigint").alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"))]
-    return usable.groupBy("tool").agg(*cols)
+    counts = runs.filter("duration_ms >= 0 AND duration_ms < 2147483647").groupBy("tool", F.col("duration_ms").alias("v")).agg(F.count("*").alias("c"))
+    return histogram_percentiles(counts, ["tool"]).select("tool", *(F.bround(p, 0).cast("bigint").alias(f"{p}_ms") for p in ("p50", "p95")))
 
 
 def timing_medians(runs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, SparkSession] = {}
 
@@ -28,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a narrow kept table (keys, 8 to 24 bytes each) that are sent to every executor at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(kept: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The kept table with a broadcast hint if it has no more than ``rows`` rows; as it is, to be joined by shuffling, if it has."""
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
+
+
 class Scratch:
     """Materialised steps of one operator run.
 

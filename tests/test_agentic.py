@@ -10,7 +10,14 @@ def test_sub_problems_are_made_safe(spark):
         "qid int, ord int, query string, signals array<string>, directions array<string>, hop int",
     )
     got = agentic.harden_sub_problems(plans, queries).orderBy("sub_problem_id").collect()
-    assert [(r.sub_problem_id, r.query, r.signals, len(r.directions), r.hop) for r in got] == [(1, "whole question", ["dense", "sparse"], 0, 2), (2, "part", ["graph"], 4, 2), (3, "other", ["dense", "sparse"], 0, 2)]
+    assert [(r.sub_problem_id, r.query, r.signals, len(r.directions), r.hop) for r in got] == [(1, "whole question", ["dense", "sparse"], 0, 2), (2, "part", ["graph"], 4, 2), (3, "other", ["dense"], 1, 2)]
+
+
+def test_one_or_no_sub_problem_asks_the_query_itself(spark):
+    queries = spark.createDataFrame([(1, "whole"), (2, "alone")], "qid int, query string")
+    plans = spark.createDataFrame([(1, 0, "part", ["sparse", "graph"], ["calls", "sideways"], 3)], "qid int, ord int, query string, signals array<string>, directions array<string>, hop int")
+    got = {r.qid: (r.sub_problem_id, r.query, r.signals, len(r.directions), r.hop) for r in agentic.harden_sub_problems(plans, queries).collect()}
+    assert got == {1: (1, "whole", ["sparse", "graph"], 4, 3), 2: (1, "alone", ["dense"], 4, 2)}  # one unknown direction gives all
 
 
 def test_status_and_gaps(spark):
