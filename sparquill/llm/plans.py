@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm import markup, mixing, near_duplicates, packing, percentiles, splitting, stuffing, tokens
-from sparquill.scratch import Scratch
+from sparquill.scratch import Scratch, bounded
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,7 +152,7 @@ def _text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of markdown, word and pdf sources, a source having the format of its latest row."""
     sources = _table(spark, sf_dir, "knowledge_sources").groupBy("source_id").agg(F.max_by("format", "updated_at").alias("format"))
     sources = sources.filter(F.col("format").isin("markdown", "word", "pdf")).select("source_id")
-    sources = Scratch(spark).keep(sources)  # so that its size is known: Catalyst broadcasts it below its threshold, and else shuffles
+    sources = bounded(Scratch(spark).keep(sources))
     chunks = _table(spark, sf_dir, "chunks").select("chunk_id", "source_id", "position_path", "content_text")
     return chunks.join(sources, "source_id", "left_semi")
 
