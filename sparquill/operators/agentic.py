@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as txt
+from sparquill.scratch import Scratch
 
 # fixed values: signals a sub-problem may name, and directions a graph signal may
 SIGNALS = ("dense", "sparse", "graph")
@@ -48,6 +49,29 @@ def harden_sub_problems(plans: DataFrame, queries: DataFrame) -> DataFrame:
     return anchor.unionByName(kept).withColumn("sub_problem_id", F.row_number().over(w)).drop("ord")
 
 
+def bounded_rounds(problems: DataFrame, search, enough: int = 10, rounds: int = 3) -> DataFrame:
+    """(qid, doc, round): what sub-problems (qid, sub_problem_id, query) find, one a round, in the order of their number.
+
+    ``search(asked)`` takes (qid, query) and gives (qid, doc, ..). A query goes on
+    while it has sub-problems left and fewer than ``enough`` documents; each
+    document is of the round that found it first. The number of rounds is a
+    bound, so the loop ends whatever a search brings.
+    """
+    scratch = Scratch(problems.sparkSession)
+    found: DataFrame | None = None
+    for n in range(rounds):
+        asked = problems.filter(F.col("sub_problem_id") == n + 1).select("qid", "query")
+        if found is not None:
+            done = found.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= enough)
+            asked = asked.join(done, "qid", "left_anti")
+        asked = scratch.keep(asked)
+        if found is not None and asked.isEmpty():
+            break
+        new = search(asked).select("qid", "doc", F.lit(n).alias("round"))
+        found = scratch.keep(new if found is None else found.unionByName(new.join(found.select("qid", "doc"), ["qid", "doc"], "left_anti")))
+    return found
+
+
 def completion_status(found: Column, asked: Column, failed: Column) -> Column:
     """failed, no_evidence, partial (fewer than asked for) or complete."""
     return F.when(failed, "failed").when(found == 0, "no_evidence").when(found < asked, "partial").otherwise("complete")

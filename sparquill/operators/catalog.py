@@ -91,6 +91,34 @@ def purge_audit(expired: DataFrame, now, ttl_days: int = 30) -> DataFrame:
     return expired.agg(F.count("*").alias("purged_runs"), F.count_if(F.col("provider_usage").isNotNull()).alias("purged_usage")).select("*", at.alias("purged_at"), (at + F.make_dt_interval(F.lit(ttl_days))).alias("expires_at"))
 
 
+def purge_totals(audit: DataFrame, start, end) -> DataFrame:
+    """One row over the maintenance rows of purges in [start, end) that have not expired by then themselves: purges and what they removed."""
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    kept = split_expired(audit, end)[0].filter((F.col("purged_at") >= at(start)) & (F.col("purged_at") < at(end)))
+    return kept.agg(F.count("*").alias("purges"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("purged_runs", "purged_usage")))
+
+
+def newest_first(rows: DataFrame, group: str, key: str, at: str = "created_at", limit: int = 20) -> DataFrame:
+    """The first ``limit`` rows of each group as a list shows them: newest first, ties by the key; adds place."""
+    w = Window.partitionBy(group).orderBy(F.col(at).desc_nulls_last(), key)
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+
+
+def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``existing`` with the rows of ``new`` in place of those of the same key; of several new rows of a key one is taken."""
+    return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
+
+
+def runs_that_must_fail(sources: DataFrame, parsed: DataFrame, edges: DataFrame, graph_asked: DataFrame) -> DataFrame:
+    """(source_id, reason) of ingest runs that may not publish: 'empty' without any piece, 'no_edges' if graph search was asked for and no hard edge is there.
+
+    parsed: a row per piece (source_id); edges: (source_id, is_hard); graph_asked: (source_id).
+    """
+    empty = sources.select("source_id").distinct().join(parsed.select("source_id").distinct(), "source_id", "left_anti").withColumn("reason", F.lit("empty"))
+    bare = graph_asked.select("source_id").distinct().join(edges.filter("is_hard").select("source_id").distinct(), "source_id", "left_anti").withColumn("reason", F.lit("no_edges"))
+    return empty.unionByName(bare.join(empty.select("source_id"), "source_id", "left_anti"))
+
+
 def free_ids(spark, taken: DataFrame, column: str, size: int = 1024, limit: int = 2) -> DataFrame:
     """The lowest ids below ``size`` that no row holds."""
     held = taken.select(F.col(column).cast("bigint").alias("id"))

@@ -34,13 +34,57 @@ def _among(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scoped: bool = False) -> DataFrame:
+#: Numbers of all queries' vectors together that are sent to every executor at most (8 bytes each).
+BROADCAST_NUMBERS = 4_000_000
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scoped: bool = False, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """(qid, doc, score, rank) of vectors (doc, embedding[, scope]) and queries (qid, embedding[, scope]).
 
-    Blocks of queries meet blocks of vectors, each pair one matrix product that
-    leaves k rows per query. With ``scoped``, a query only sees vectors of its
+    Queries within ``broadcast_numbers`` go to every executor, where each batch
+    of vectors is one matrix product and a task keeps the k best of each query:
+    vectors are not shuffled. With more queries, blocks of queries meet blocks of
+    vectors by shuffling. With ``scoped``, a query only sees vectors of its
     scope. Scores have six decimals; ties go to the smaller id.
     """
+    size = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc")
+    parts = _scanned(vectors, queries, k, scoped) if size <= broadcast_numbers else _blocks(vectors, queries, k, scoped)
+    return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _scanned(vectors: DataFrame, queries: DataFrame, k: int, scoped: bool) -> DataFrame:
+    held = queries.select("qid", "embedding", *(["scope"] if scoped else [])).toPandas()  # within broadcast_numbers
+    own = held["scope"].to_numpy() if scoped else None
+    sent = vectors.sparkSession.sparkContext.broadcast((held["qid"].to_numpy(), _unit(held["embedding"]) if len(held) else None, own))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, unit, scopes = sent.value
+        best_score = np.empty((len(ids), 0))
+        best_doc = np.empty((len(ids), 0), np.int64)
+        for v in batches:
+            if not len(v) or not len(ids):
+                continue
+            scores = np.round(unit @ _unit(v["embedding"]).T, 6)
+            if scopes is not None:
+                scores[scopes[:, None] != v["scope"].to_numpy()[None, :]] = -np.inf
+            docs = v["doc"].to_numpy()
+            at = np.stack([_padded(_best(row, docs, k), k) for row in scores])
+            new = np.where(at >= 0, np.take_along_axis(scores, np.maximum(at, 0), 1), -np.inf)
+            best_score, best_doc = np.hstack([best_score, new]), np.hstack([best_doc, docs[np.maximum(at, 0)]])
+            order = np.lexsort((best_doc, -best_score), axis=1)[:, :k]
+            best_score, best_doc = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_doc, order, 1)
+        there = np.isfinite(best_score)
+        yield pd.DataFrame({"qid": np.repeat(ids, there.sum(axis=1)), "doc": best_doc[there], "score": best_score[there]})
+
+    return vectors.select("doc", "embedding", *(["scope"] if scoped else [])).mapInPandas(scan, "qid bigint, doc bigint, score double")
+
+
+def _padded(at: np.ndarray, k: int) -> np.ndarray:
+    return np.concatenate([at, np.full(k - len(at), -1, at.dtype)])
+
+
+def _blocks(vectors: DataFrame, queries: DataFrame, k: int, scoped: bool) -> DataFrame:
     nq = max(1, -(-queries.count() // QUERY_BLOCK))
     nv = max(1, -(-vectors.count() // VECTOR_BLOCK))
     extra = ["scope"] if scoped else []
@@ -58,9 +102,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scoped: bool
             out.append(pd.DataFrame({"qid": qid, "doc": ids[at], "score": scores[i][at]}))
         return pd.concat(out, ignore_index=True)
 
-    parts = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(multiply, "qid bigint, doc bigint, score double")
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc")
-    return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(multiply, "qid bigint, doc bigint, score double")
+
+
+def list_count(vectors: int) -> int:
+    """Lists of an index over so many vectors: the square root, within 16 and 2,048, so that a sample of bounded size can fit them."""
+    return max(16, min(2048, round(vectors**0.5)))
 
 
 def fit_centroids(vectors: DataFrame, lists: int = 16, sample_rows: int = 10_000, rounds: int = 10) -> np.ndarray:

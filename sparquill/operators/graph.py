@@ -122,3 +122,9 @@ def rebuild_scope(existing: DataFrame, scopes: DataFrame, extracted: DataFrame)
     """Edges after the scopes (scope) were emptied and their newly extracted edges put in; other scopes stay."""
     kept = existing.join(scopes.select("scope").distinct(), "scope", "left_anti")
     return kept.unionByName(extracted.join(scopes.select("scope").distinct(), "scope", "left_semi"))
+
+
+def scopes_with_edges(scopes: DataFrame, hard: DataFrame, soft: DataFrame) -> DataFrame:
+    """The scopes (scope, ..) that have a hard edge or an active soft one."""
+    there = hard.select("scope").unionByName(soft.filter("lifecycle_state = 'active'").select("scope")).distinct()
+    return scopes.join(there, "scope", "left_semi")

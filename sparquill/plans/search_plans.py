@@ -203,7 +203,7 @@ def dense_topk_scoped(spark, sf_dir):
 
 def dense_topk_indexed(spark, sf_dir):
     rows, asked = _vectors(spark, sf_dir)
-    centres = dense.fit_centroids(rows)
+    centres = dense.fit_centroids(rows, dense.list_count(rows.count()))
     return dense.indexed_top_k(rows, asked, centres, K, dense.choose_probes(rows, centres, K)).withColumnRenamed("doc", "vec_id")
 
 
