@@ -150,7 +150,7 @@ _GO = re.compile(r"^(?:func\s+(?:\((?P<receiver>[^)]*)\)\s*)?(?P<func>\w+)|type\
 
 
 def go(source: str, filename: str = "") -> list[Piece]:
-    """Functions, methods (pkg.Type#method) and types; above 1,024 tokens cut to 4,096 characters. Raises where brackets do not match."""
+    """Functions, methods (pkg.Type#method) and types; one above 1,024 tokens is several pieces of whole lines. Raises where brackets do not match."""
     quiet = blanked(source)
     package = re.search(r"^package\s+(\w+)", quiet, re.M)
     named = lambda name: f"{package.group(1)}.{name}" if package else name
@@ -171,7 +171,11 @@ def go(source: str, filename: str = "") -> list[Piece]:
 
     def add(start: int, end: int, path: str, parent: str, kind: str) -> None:
         p = _piece(source, start, start + len(source[start:end].rstrip()), path, parent, kind)
-        out.append(p if p.tokens <= MAX_TOKENS else p._replace(content=p.content[: 4 * MAX_TOKENS], tokens=MAX_TOKENS))
+        line = p.start_line
+        for part in pack(p.content.split("\n"), "\n") if p.tokens > MAX_TOKENS else [p.content]:
+            last = line + part.count("\n")
+            out.append(p._replace(content=part, tokens=estimate(part), start_line=line, end_line=last))
+            line = last + 1
 
     for m in _GO.finditer(quiet):
         if m.group("func"):

@@ -164,3 +164,14 @@ def test_two_columns(spark):
     one = words.withColumn("x1", F.when(F.col("text") == "l01", 360.0).otherwise(F.col("x1")))
     assert layout.page_texts(one).first().text.startswith("l00 l01 r00 r01")
     assert layout.document_texts(words).first().text.startswith("=== PAGE 1 ===\n")
+
+
+def test_a_long_go_declaration_loses_no_text():
+    from sparquill.sources.parsers import MAX_TOKENS, parse
+
+    body = "\n".join(f"\tstep{i}(ctx, value{i})" for i in range(600))
+    source = f"package q\n\nfunc Run() {{\n{body}\n}}\n"
+    pieces = parse(source, "go", "q.go")
+    assert len(pieces) > 1 and "\n".join(p.content for p in pieces) == source[source.index("func") :].rstrip()
+    assert all(p.tokens <= MAX_TOKENS * 1.1 for p in pieces)
+    assert [p.start_line for p in pieces][1:] == [p.end_line + 1 for p in pieces][:-1] and pieces[-1].end_line == source.count("\n")
