@@ -11,6 +11,8 @@ node's segment reaches the node again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ def _jump(scratch: Scratch, state: DataFrame) -> DataFrame:
     done; loop, if the walk ended in a cycle; missing, the absent parent that
     ends the chain. Every ``at`` is an id of the table.
     """
-    state = scratch.keep(state)
-    while not (active := state.filter(~F.col("done"))).isEmpty():
-        onward = state.select(
+    last, finished = scratch.keep(state), []  # rows that are done are written once and stay where they are
+    while not (active := last.filter(~F.col("done"))).isEmpty():
+        onward = reduce(DataFrame.unionByName, finished, last).select(
             F.col("id").alias("at"), F.col("at").alias("to"), F.col("seg").alias("more"),
             F.col("done").alias("to_done"), F.col("loop").alias("to_loop"), F.col("missing").alias("to_missing"),
         )
@@ -49,10 +51,9 @@ def _jump(scratch: Scratch, state: DataFrame) -> DataFrame:
             "id", F.col("to").alias("at"), F.concat("seg", "more").alias("seg"),
             F.col("to_done").alias("done"), F.col("to_loop").alias("loop"), F.col("to_missing").alias("missing"),
         )
-        following = scratch.keep(state.filter("done").unionByName(_close_loops(moved)))
-        scratch.drop(state)
-        state = following
-    return state
+        finished.append(last.filter("done"))
+        last = scratch.keep(_close_loops(moved))
+    return reduce(DataFrame.unionByName, finished, last)
 
 
 def hierarchy(df: DataFrame, id_col: str = "chunk_id", parent_col: str = "parent_chunk_id", splitter_every: int = 8) -> DataFrame:
