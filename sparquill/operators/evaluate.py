@@ -42,11 +42,6 @@ def summarise_by(metrics: DataFrame, column: str) -> DataFrame:
     return summarise(grouped)
 
 
-def percentiles(rows: DataFrame, value: str, by: list[str], points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Interpolated percentiles."""
-    return rows.groupBy(*by).agg(*(F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in points))
-
-
 def rank_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     """(qid, doc, rank_a, rank_b, delta) over the documents of either ranking; delta > 0: better in b."""
     x, y = a.select("qid", "doc", F.col("rank").alias("rank_a")), b.select("qid", "doc", F.col("rank").alias("rank_b"))

@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 RETRIEVERS = ("dense", "sparse", "graph")
 
 
-def rank_lists(scored: DataFrame, key: str = "qid") -> DataFrame:
-    """Adds rank per (key, retriever) by falling score, ties by id."""
-    w = Window.partitionBy(key, "retriever").orderBy(F.col("score").desc(), "doc")
-    return scored.withColumn("rank", F.row_number().over(w))
-
-
 def rrf(ranked: DataFrame, k: int = 60, key: str = "qid") -> DataFrame:
     """One row per (key, doc) of rows (key, doc, retriever, rank): the ranks, fused_score = sum 1 / (k + rank), retrievers, final_rank.
 

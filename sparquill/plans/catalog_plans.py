@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as txt
-from sparquill.operators import catalog, runs
+from sparquill.operators import agentic, catalog, runs
 from sparquill.session import table
 
 NOW = datetime(2026, 2, 15)
@@ -44,7 +44,7 @@ def publish_drafts(spark, sf_dir):
 
 def published_chunks(spark, sf_dir):
     kept = catalog.published_only(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "versions"))
-    return kept.groupBy("knowledge_scope_id", "version_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+    return kept.select("chunk_id", "version_id").distinct()
 
 
 def purge_superseded(spark, sf_dir):
@@ -54,7 +54,7 @@ def purge_superseded(spark, sf_dir):
 
 def purge_archived_scopes(spark, sf_dir):
     gone = table(spark, sf_dir, "scopes").filter("status <> 'active'").select(F.col("scope_id").alias("knowledge_scope_id"))
-    return catalog.purge(table(spark, sf_dir, "chunks"), gone, "knowledge_scope_id").groupBy("knowledge_scope_id").agg(F.countDistinct("chunk_id").alias("chunks"))
+    return catalog.purge(table(spark, sf_dir, "chunks"), gone, "knowledge_scope_id").select("chunk_id", "knowledge_scope_id").distinct()
 
 
 def newest_graph_version(spark, sf_dir):
@@ -62,7 +62,7 @@ def newest_graph_version(spark, sf_dir):
 
 
 def ttl_purge(spark, sf_dir):
-    return catalog.split_expired(_log(spark, sf_dir), NOW)[0].groupBy("retrieval_mode").agg(F.count("*").alias("runs"))
+    return catalog.split_expired(_log(spark, sf_dir), NOW)[0].select("run_id", "expires_at")
 
 
 def ttl_audit(spark, sf_dir):
@@ -130,7 +130,7 @@ def ledger_rejections(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks").select("chunk_id", "knowledge_scope_id").dropDuplicates(["chunk_id"])
     refs = _log(spark, sf_dir).select("run_id", F.posexplode("evidence_ref_ids").alias("pos", "ref")).select("run_id", "pos", F.expr("try_cast(ref AS bigint)").alias("chunk_id"))
     first = refs.filter("pos = 0").join(chunks, "chunk_id").select("run_id", "knowledge_scope_id")
-    return runs.scope_check(refs.join(first, "run_id"), chunks)[1].groupBy("knowledge_scope_id").agg(F.count("*").alias("rejected"))
+    return runs.scope_check(refs.join(first, "run_id"), chunks)[1].select("run_id", "pos", "chunk_id", "knowledge_scope_id")
 
 
 def redaction(spark, sf_dir):
@@ -142,7 +142,7 @@ def redaction(spark, sf_dir):
 
 def injection_scan(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select("doc_id", txt.injection_signs(F.col("text")).alias("s"))
-    return chunks.groupBy(F.col("s.risk").alias("risk"), F.array_join("s.matched", ",").alias("matched")).agg(F.count("*").alias("documents"))
+    return chunks.select("doc_id", F.col("s.risk").alias("risk"), F.array_join("s.matched", ",").alias("matched"))
 
 
 def text_functions(spark, sf_dir):
@@ -151,9 +151,44 @@ def text_functions(spark, sf_dir):
     return docs.select("doc_id", txt.content_hash(text).alias("hash"), txt.chars_estimate(text).alias("chars_estimate"), txt.excerpt(text).alias("excerpt"), F.size(txt.tokens(text)).alias("tokens"))
 
 
+def exact_refs(spark, sf_dir):
+    """References that must name a project fully: parts of a path do not count."""
+    projects = table(spark, sf_dir, "projects")
+    names = projects.select(F.col("repo_path").alias("ref")).union(projects.select(F.upper("alias"))).union(projects.select(F.col("knowledge_scope_id").cast("string"))).union(projects.select(F.substring("repo_path", 2, 9)))
+    return catalog.resolve_refs(names, projects, exact=True)
+
+
+def publish_by_source(spark, sf_dir):
+    """Drafts are published and supersede only versions that hold one of their sources."""
+    versions = table(spark, sf_dir, "versions")
+    held = table(spark, sf_dir, "chunks").select("version_id", "source_id").distinct()
+    out = catalog.publish(versions, versions.filter("status = 'draft'"), NOW, "source", held)
+    return out.select("version_id", "status", "published_at")
+
+
+def unique_scope_names(spark, sf_dir):
+    """Names of projects and scopes that a new public scope may have."""
+    scopes = table(spark, sf_dir, "scopes")
+    new = table(spark, sf_dir, "projects").select("name").union(scopes.select("name"))
+    return catalog.unique_names(new, scopes).select("name")
+
+
+def schema_check(spark, sf_dir):
+    """What differs in two tables from a stated schema, one part of which is wrong on purpose."""
+    found = catalog.schema_differences(table(spark, sf_dir, "projects"), {"project_id": "bigint", "alias": "string", "name": "int"})
+    found += catalog.schema_differences(table(spark, sf_dir, "scopes"), {"scope_id": "bigint", "owner": "string"})
+    return spark.createDataFrame([(x,) for x in found], "difference string")
+
+
+def clamped_requests(spark, sf_dir):
+    """Each run's number of results within what a request may ask for."""
+    return _log(spark, sf_dir).select("run_id", agentic.clamp(F.col("evidence_count"), 1, 3).alias("top_k"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        exact_refs, publish_by_source, unique_scope_names, schema_check, clamped_requests,
         resolve_refs, scope_names, next_version, publish_drafts, published_chunks, purge_superseded, purge_archived_scopes, newest_graph_version, ttl_purge, ttl_audit,
         free_worker_ids, latest_sources, repeated_uploads, source_integrity, index_versions, run_violations, request_totals, status_distribution, latency_p50_p95,
         subpath_p50, provider_usage, timing_totals, late_arrivals, evidence_usage, ledger_rejections, redaction, injection_scan, text_functions,
@@ -182,6 +217,14 @@ def _signs(rules: dict[str, str]) -> str:
 
 
 SQL = {
+    "exact_refs": """WITH f AS (SELECT DISTINCT ref FROM (SELECT repo_path AS ref FROM projects UNION ALL SELECT upper(alias) FROM projects UNION ALL SELECT knowledge_scope_id::VARCHAR FROM projects UNION ALL SELECT substr(repo_path, 2, 9) FROM projects) WHERE ref <> ''),
+m AS (SELECT ref, project_id, knowledge_scope_id FROM f LEFT JOIN projects p ON p.project_id::VARCHAR = ref OR p.knowledge_scope_id::VARCHAR = ref OR lower(alias) = lower(ref) OR repo_path = ref)
+SELECT *, count(project_id) OVER (PARTITION BY ref) AS n, CASE n WHEN 0 THEN 'missing' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome FROM m""",
+    "publish_by_source": f"""WITH d AS (SELECT version_id FROM versions WHERE status = 'draft'), o AS (SELECT version_id FROM chunks WHERE source_id IN (SELECT source_id FROM chunks WHERE version_id IN (FROM d)))
+SELECT version_id, CASE WHEN version_id IN (FROM d) THEN 'published' WHEN status = 'published' AND version_id IN (FROM o) THEN 'superseded' ELSE status END AS status, CASE WHEN version_id IN (FROM d) THEN TIMESTAMP '{NOW}' ELSE published_at END AS published_at FROM versions""",
+    "unique_scope_names": "SELECT DISTINCT name FROM (SELECT name FROM projects UNION ALL SELECT name FROM scopes) WHERE name NOT IN (SELECT name FROM scopes WHERE scope_type = 'public' AND status = 'active')",
+    "schema_check": "SELECT unnest(['name: string, not int', 'owner: missing, not string']) AS difference",
+    "clamped_requests": _LOG + " SELECT run_id, least(3, greatest(1, evidence_count)) AS top_k FROM r",
     "resolve_refs": """WITH f AS (SELECT DISTINCT ref FROM (SELECT name AS ref FROM projects UNION ALL SELECT alias FROM projects UNION ALL SELECT project_id::VARCHAR FROM projects
   UNION ALL SELECT substr(name, 1, 3) FROM projects UNION ALL SELECT '/srv/repos') WHERE ref IS NOT NULL AND ref <> ''),
 m AS (SELECT ref, project_id, knowledge_scope_id FROM f LEFT JOIN projects p ON p.project_id::VARCHAR = ref OR p.knowledge_scope_id::VARCHAR = ref OR lower(alias) = lower(ref) OR repo_path = ref OR contains(lower(repo_path), lower(ref)))
@@ -191,12 +234,12 @@ SELECT *, count(project_id) OVER (PARTITION BY ref) AS n, CASE n WHEN 0 THEN 'mi
     "publish_drafts": f"""WITH d AS (SELECT * FROM versions WHERE status = 'draft')
 SELECT version_id, knowledge_scope_id, CASE WHEN version_id IN (SELECT version_id FROM d) THEN 'published' WHEN status = 'published' AND knowledge_scope_id IN (SELECT knowledge_scope_id FROM d) THEN 'superseded' ELSE status END AS status,
   CASE WHEN version_id IN (SELECT version_id FROM d) THEN TIMESTAMP '{NOW}' ELSE published_at END AS published_at FROM versions""",
-    "published_chunks": "SELECT knowledge_scope_id, version_id, count(DISTINCT chunk_id) AS chunks FROM chunks WHERE version_id IN (SELECT version_id FROM versions WHERE status = 'published') GROUP BY ALL",
+    "published_chunks": "SELECT DISTINCT chunk_id, version_id FROM chunks WHERE version_id IN (SELECT version_id FROM versions WHERE status = 'published')",
     "purge_superseded": "SELECT DISTINCT chunk_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM versions v WHERE v.version_id = c.version_id AND status = 'superseded')",
-    "purge_archived_scopes": "SELECT knowledge_scope_id, count(DISTINCT chunk_id) AS chunks FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM scopes WHERE scope_id = c.knowledge_scope_id AND status <> 'active') GROUP BY 1",
+    "purge_archived_scopes": "SELECT DISTINCT chunk_id, knowledge_scope_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM scopes WHERE scope_id = c.knowledge_scope_id AND status <> 'active')",
     "newest_graph_version": """SELECT knowledge_scope_id, version_id, version_number FROM versions WHERE status = 'published' AND capabilities.graph_ready AND capabilities.dense_ready AND capabilities.lexical_ready
 QUALIFY row_number() OVER (PARTITION BY knowledge_scope_id ORDER BY version_number DESC, version_id) = 1""",
-    "ttl_purge": _LOG + f" SELECT retrieval_mode, count(*) AS runs FROM r WHERE coalesce(expires_at >= TIMESTAMP '{NOW}', true) GROUP BY 1",
+    "ttl_purge": _LOG + f" SELECT run_id, expires_at FROM r WHERE coalesce(expires_at >= TIMESTAMP '{NOW}', true)",
     "ttl_audit": _LOG + f" SELECT count(*) AS purged_runs, count(provider_usage) AS purged_usage, TIMESTAMP '{NOW}' AS purged_at, TIMESTAMP '{NOW}' + INTERVAL 30 DAY AS expires_at FROM r WHERE expires_at < TIMESTAMP '{NOW}'",
     "free_worker_ids": "SELECT i AS id FROM range(1024) t(i) WHERE i NOT IN (SELECT version_number FROM versions) ORDER BY 1 LIMIT 2",
     "latest_sources": _SRC + " SELECT * FROM s",
@@ -221,9 +264,9 @@ SELECT tool, subpath, round_even(list(v ORDER BY v)[count(*) // 2 + 1], 0)::BIGI
 SELECT chunk_id, count(*) AS runs, count(*) FILTER (pos = 0) AS first_places, chunk_id IN (SELECT chunk_id FROM chunks) AS known FROM e WHERE chunk_id IS NOT NULL GROUP BY 1""",
     "ledger_rejections": _LOG + """, c AS (SELECT chunk_id, min(knowledge_scope_id) AS knowledge_scope_id FROM chunks GROUP BY 1), e AS (SELECT run_id, TRY_CAST(unnest(evidence_ref_ids) AS BIGINT) AS chunk_id, unnest(range(len(evidence_ref_ids))) AS pos FROM r),
 f AS (SELECT run_id, c.knowledge_scope_id FROM e JOIN c USING (chunk_id) WHERE pos = 0)
-SELECT f.knowledge_scope_id, count(*) AS rejected FROM e JOIN f USING (run_id) LEFT JOIN c ON c.chunk_id = e.chunk_id WHERE c.knowledge_scope_id IS DISTINCT FROM f.knowledge_scope_id GROUP BY 1""",
+SELECT run_id, e.pos::INT AS pos, e.chunk_id, f.knowledge_scope_id FROM e JOIN f USING (run_id) LEFT JOIN c ON c.chunk_id = e.chunk_id WHERE c.knowledge_scope_id IS DISTINCT FROM f.knowledge_scope_id""",
     "redaction": f"SELECT chunk_id, md5(clean) AS clean_md5 FROM (SELECT DISTINCT chunk_id, content_text, {_redacted('content_text')} AS clean FROM chunks) WHERE clean <> content_text",
-    "injection_scan": f"WITH s AS (SELECT coalesce({_signs(txt.HIGH_RISK)}, []) AS h, coalesce({_signs(txt.LOW_RISK)}, []) AS l FROM documents) SELECT CASE WHEN len(h) > 0 THEN 'high' WHEN len(l) > 0 THEN 'low' ELSE 'none' END AS risk, array_to_string(h || l, ',') AS matched, count(*) AS documents FROM s GROUP BY ALL",
+    "injection_scan": f"WITH s AS (SELECT coalesce({_signs(txt.HIGH_RISK)}, []) AS h, coalesce({_signs(txt.LOW_RISK)}, []) AS l, doc_id FROM documents) SELECT doc_id, CASE WHEN len(h) > 0 THEN 'high' WHEN len(l) > 0 THEN 'low' ELSE 'none' END AS risk, array_to_string(h || l, ',') AS matched FROM s",
     "text_functions": f"""SELECT doc_id, sha256(text) AS hash, greatest(1, ceil(length(text) / 4))::INT AS chars_estimate, substr(text, 1, 500) AS excerpt,
   len(list_filter(regexp_extract_all(lower(text), '{txt.TOKEN}'), lambda x: x NOT IN ({', '.join(f"'{w}'" for w in txt.STOP_WORDS)})))::INT AS tokens FROM documents WHERE text IS NOT NULL""",
 }

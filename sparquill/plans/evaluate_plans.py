@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from sparquill.operators import agentic, catalog, coordination, dense, evaluate, fusion, graph, rerank, runs, sparse
 from sparquill.plans.agentic_plans import SQL as _AGENTIC_SQL
 from sparquill.plans.agentic_plans import hardened_sub_problems
-from sparquill.plans.search_plans import _SEARCH, SQL as _SEARCH_SQL, K, _chunk_edges, _counts, _metrics, _per_query, _runs, _scopes, _truth, _vectors, bm25_topk, corpus, hybrid_evidence, rrf_fused
+from sparquill.plans.search_plans import _SEARCH, SQL as _SEARCH_SQL, K, _chunk_edges, _counts, _metrics, _per_query, _runs, _scopes, _truth, _vectors, bm25_topk, context_selection, corpus, hybrid_evidence, rrf_fused
 from sparquill.scratch import Scratch
 from sparquill.session import table
+from sparquill.sources import files
 
 ORIGINAL = 11  # queries of the smallest ids are the original set
 
@@ -79,6 +80,34 @@ def reranked_evidence(spark, sf_dir):
     return out.select("qid", F.col("doc").alias("chunk_id"), "rerank_score", "final_rank", "rerank_rank")
 
 
+def final_scores(spark, sf_dir):
+    """The one score that is recorded of each fused result: that of the reranker where there is one."""
+    scratch = Scratch(spark)
+    fused = scratch.keep(rrf_fused(spark, sf_dir))
+    again = reranked_evidence(spark, sf_dir).select("qid", "chunk_id", "rerank_score")
+    rows = fused.join(again, ["qid", "chunk_id"], "left")
+    score = fusion.final_score(F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("rerank_score"), F.col("fused_score"), F.lit(None).cast("double"))
+    return rows.select("qid", "chunk_id", F.round(score, 6).alias("score"))
+
+
+def combined_truth(spark, sf_dir):
+    """Two evaluation sets with different fields, written as JSON, read back and combined."""
+    root = Scratch(spark).root
+    rows = _runs(spark, sf_dir).filter("refs IS NOT NULL").select(F.col("query"), F.col("qid"), F.col("refs").alias("expected_evidence_ids"), "mode")
+    # a set is one JSON list, as people write it
+    for k, part in enumerate((rows.filter("mode <> 'agentic'").drop("mode"), rows.filter("mode = 'agentic'"))):
+        files.write_report(part, f"{root}/set{k}")
+    return files.combined_dataset(spark, f"{root}/set0", f"{root}/set1").select("qid", "dataset", F.size("expected_evidence_ids").alias("expected"), "mode")
+
+
+def sound_selections(spark, sf_dir):
+    """Selection records of the context, some of them spoilt, of which the sound ones are kept."""
+    picked = context_selection(spark, sf_dir)
+    spoilt = F.pmod("chunk_id", F.lit(7))
+    rows = picked.select(F.when(spoilt == 0, F.concat(F.lit("x"), F.col("chunk_id").cast("string"))).otherwise(F.col("chunk_id").cast("string")).alias("ledger_id"), F.when(spoilt == 1, "kept").otherwise(F.col("decision")).alias("decision"), "qid", "sub_problem_id")
+    return agentic.valid_selections(rows)
+
+
 def sub_problem_recall(spark, sf_dir):
     """Each hardened sub-problem drives a search of its own; the results of a query's sub-problems are merged."""
     scratch = Scratch(spark)
@@ -201,7 +230,7 @@ def lease_holders(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        subset_metrics, hard_constraints, hybrid_gate, graph_gate, agentic_gate, first_expected_ranks, duration_percentiles, reranked_evidence, sub_problem_recall, bounded_rounds, bm25_topk_newest_version,
+        subset_metrics, hard_constraints, hybrid_gate, graph_gate, agentic_gate, first_expected_ranks, duration_percentiles, reranked_evidence, final_scores, combined_truth, sound_selections, sub_problem_recall, bounded_rounds, bm25_topk_newest_version,
         dense_recall, annotated_evidence, scopes_with_edges, graph_rebuild, failed_ingests, sources_newest_first, vector_upsert, reindexed_vectors, purge_totals, lease_replay, lease_holders,
     )
 }
@@ -258,6 +287,9 @@ WHERE duration_ms >= 0 AND duration_ms < 2147483647 GROUP BY 1""",
     "reranked_evidence": _SEARCH + f""", rr AS (SELECT qid, chunk_id, fused_score, final_rank, {_TOKENS.format('query', _STOP)} AS a, {_TOKENS.format('content_text', _STOP)} AS b FROM fr JOIN q USING (qid) JOIN c USING (chunk_id) WHERE final_rank <= 20),
 rs AS (SELECT *, CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a, coalesce(b, []))) / len(a)::DOUBLE, 6) END AS rerank_score FROM rr)
 SELECT qid, chunk_id, rerank_score, final_rank, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, fused_score DESC, CAST(chunk_id AS VARCHAR)) AS rerank_rank FROM rs QUALIFY rerank_rank <= 5""",
+    "final_scores": _SEARCH_SQL["rrf_fused"].replace("SELECT *, concat_ws", "SELECT qid, chunk_id, round(coalesce(x.rerank_score, least(1, fused_score * 15)), 6) AS score FROM (SELECT *, concat_ws") + ") LEFT JOIN (" + "@RERANKED@" + ") x USING (qid, chunk_id)",
+    "combined_truth": _SEARCH + "SELECT qid, CASE WHEN mode = 'agentic' THEN 1 ELSE 0 END AS dataset, len(refs)::INT AS expected, CASE WHEN mode = 'agentic' THEN mode END AS mode FROM q WHERE refs IS NOT NULL",
+    "sound_selections": "SELECT chunk_id::VARCHAR AS ledger_id, decision, qid, sub_problem_id FROM (" + _SEARCH_SQL["context_selection"] + ") WHERE chunk_id % 7 NOT IN (0, 1)",
     "sub_problem_recall": _SUB + """SELECT qid, chunk_id, max(score) AS score, string_agg(sub::VARCHAR, ',' ORDER BY sub) AS sub_problems, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, CAST(chunk_id AS VARCHAR)) AS merge_rank FROM s5 GROUP BY qid, chunk_id QUALIFY merge_rank <= 10""",
     "bounded_rounds": _SUB + """, r1 AS (SELECT qid, chunk_id, min(sub) AS sub FROM s5 WHERE sub <= 3 GROUP BY ALL), u1 AS (SELECT qid, count(*) FILTER (sub = 1) AS n1, count(*) FILTER (sub <= 2) AS n2 FROM r1 GROUP BY 1)
 SELECT qid, chunk_id, (sub - 1)::INT AS round FROM r1 JOIN u1 USING (qid) WHERE sub = 1 OR (sub = 2 AND n1 < 10) OR (sub = 3 AND n1 < 10 AND n2 < 10)""",
@@ -282,3 +314,4 @@ SELECT 1::BIGINT AS purges, count(*) AS purged_runs, count(provider_usage) AS pu
     "lease_holders": _EVENTS + """, la AS (SELECT * FROM st WHERE outcome IN ('granted', 'renewed', 'released') AND "at" <= TIMESTAMP '2024-01-15 12:00:00' QUALIFY row_number() OVER (PARTITION BY resource ORDER BY rn DESC) = 1)
 SELECT DISTINCT user_id % 20 AS instance_id, user_id % 20 IN (SELECT holder FROM la WHERE outcome <> 'released' AND "at" + INTERVAL 2 HOUR > TIMESTAMP '2024-01-15 12:00:00') AS has_lease FROM events WHERE user_id IS NOT NULL""",
 }
+SQL["final_scores"] = SQL["final_scores"].replace("@RERANKED@", SQL["reranked_evidence"])
