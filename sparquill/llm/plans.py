@@ -119,7 +119,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _once(chunks: DataFrame) -> DataFrame:
     """Each row once; only rows whose id occurs again are compared by their text, the others do not move where those ids are few."""
-    again = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id")
+    again = bounded(Scratch(chunks.sparkSession).keep(chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id")))
     return chunks.join(again, "chunk_id", "left_anti").unionByName(chunks.join(again, "chunk_id", "left_semi").distinct())
 
 
