@@ -50,9 +50,9 @@ def mix(sized: DataFrame, targets: DataFrame, mix_tokens: int | None = None) ->
     first = Window.partitionBy("s").orderBy(F.col("share").desc(), "name", "most")
     want = want.filter("s IS NOT NULL AND share IS NOT NULL AND most IS NOT NULL").withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
 
-    hist = scratch.keep(rows.groupBy("s", F.shiftright("h", _HASH_BITS - _DIGIT).alias("bucket")).agg(F.sum("n").alias("t")))
-    held = hist.groupBy("s").agg(F.sum("t").alias("held"))
-    hist = hist.join(want.select("s"), "s", "left_semi")
+    every = scratch.keep(rows.groupBy("s", F.shiftright("h", _HASH_BITS - _DIGIT).alias("bucket")).agg(F.sum("n").alias("t")))
+    held = every.groupBy("s").agg(F.sum("t").alias("held"))
+    hist = scratch.keep(every.join(want.select("s"), "s", "left_semi"))
     total = F.lit(mix_tokens).cast("bigint").alias("mix") if mix_tokens is not None else F.coalesce(F.sum("held"), F.lit(0)).alias("mix")
     size = held.agg(total) if mix_tokens is None else sized.sparkSession.range(1).select(total)
     plan = want.join(held, "s", "left").crossJoin(size).withColumn("held", F.coalesce("held", F.lit(0)))  # size is one row
@@ -79,6 +79,7 @@ def mix(sized: DataFrame, targets: DataFrame, mix_tokens: int | None = None) ->
         if done >= _HASH_BITS:
             break
         inside = rows.join(bound.select("s", "below"), "s").filter(F.shiftright("h", _HASH_BITS - done) == F.col("below"))
+        scratch.drop(hist)
         hist = scratch.keep(inside.groupBy("s", F.shiftright("h", _HASH_BITS - done - _DIGIT).alias("bucket")).agg(F.sum("n").alias("t")))
 
     rule = plan.select("s", "name", "whole", "most").join(bound.select("s", "below"), "s")

@@ -57,3 +57,40 @@ def test_fragments_count_where_their_phrases_stand_on_other_hosts(spark):
     got = {r.id: r for r in sf.stuffing_evidence(spark.createDataFrame(rows, "doc_id bigint, text string, url string")).collect()}
     assert got[1].stuffed_share > 0.5 and got[2].stuffed_share > 0.5
     assert got[3].stuffed_share == got[4].stuffed_share == 0  # one host twice is no replication
+
+
+def repeating(rng, topics):
+    """Twelve-word lists that repeat themselves a little: too little to be keywords by themselves."""
+    items = [f"{m} {t}" for t in topics for m in ("buy", "cheap", "best", "free")]
+    return "\n".join(", ".join(rng.choice(items) for _ in range(5)) for _ in range(9))
+
+
+def test_replication_decides_between_repeating_pages(spark):
+    rng = random.Random(12)
+    letters = "bcdfghklmnprstvz"
+    word = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(3))
+    topics = [f"{word()} {word()} {word()}" for _ in range(30)]
+    pages = [(i, repeating(rng, topics), f"https://h{i}.example/x") for i in range(8)]
+    evidence = lambda rows: {r.id: r for r in sf.stuffing_evidence(spark.createDataFrame(rows, "doc_id bigint, text string, url string").repartition(3), pages_per_range=2).collect()}
+    many, one = evidence(pages), evidence([(i, t, "https://h.example/x") for i, t, _ in pages])
+    assert all(r.asked_chars > 0 and r.keyword_chars == one[i].keyword_chars and one[i].replicated_chars == 0 for i, r in many.items())
+    assert any(r.stuffed_share > 0.5 >= one[i].stuffed_share for i, r in many.items())
+    # the same by hand: an item of fewer than five words is a phrase
+    hosts = {}
+    for i, t, _ in pages:
+        for item in {x.strip() for x in t.replace("\n", ",").split(",")}:
+            hosts.setdefault(item, set()).add(i)
+    for i, t, _ in pages:
+        page, replicated = sf.page_evidence(t), 0
+        for w in page.windows:
+            size = lambda words: sum(map(len, words))
+            share = sum(size(p) for p in w.phrases if len(hosts[" ".join(p)]) >= 2) / sum(map(size, w.phrases))
+            replicated += w.chars if share >= w.need else 0
+        assert many[i].replicated_chars == replicated
+
+
+def test_long_labels_and_far_prices():
+    label = "word " * 200
+    for text in (f'<a href="https://a.example/x">{label}</a>', f"[{label}](https://a.example/x)", f"Item C-1200 {'longname' * 9}, 12.99, buy\n" * 9):
+        page = sf.page_evidence(text)
+        assert page.links + page.tags > 0.9 * page.chars
