@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparquill.scratch import Scratch
+
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
 
@@ -153,7 +155,7 @@ def assign_lists(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> Da
 
 def indexed_top_k(vectors: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 8) -> DataFrame:
     """As ``exact_top_k``, over the vectors in the ``probes`` lists nearest to each query."""
-    indexed = assign_lists(vectors.select("doc", "embedding"), centres)
+    indexed = Scratch(vectors.sparkSession).keep(assign_lists(vectors.select("doc", "embedding"), centres))
     asked = assign_lists(queries.select("qid", "embedding"), centres, probes)
     # a list may hold a third of all vectors: it is searched in parts of one block; a row per list comes to the driver
     sizes = {r["list"]: -(-r["n"] // VECTOR_BLOCK) for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
