@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Runs of letters, digits and underscores, and single Chinese characters, of lower-cased text.
-TOKEN = "[a-z0-9_]+|[一-鿿]"
+#: Runs of letters, digits and underscores, and single Chinese characters (extensions A and B too), of lower-cased text.
+TOKEN = "[a-z0-9_]+|[㐀-䶿一-鿿𠀀-𪛟]"
 
 # fixed values: words that carry no search value in English and code
 STOP_WORDS = (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions.text import STOP_WORDS, TOKEN
 from sparquill.operators.fusion import rerank_order
+from sparquill.scratch import Scratch
 
 Encoder = Callable[[Sequence[str]], np.ndarray]  # (texts, dimension)
 Scorer = Callable[[Sequence[str], Sequence[str]], np.ndarray]  # of each query and text
@@ -88,3 +89,43 @@ def rerank(fused: DataFrame, queries: DataFrame, texts: DataFrame, k: int = 5, b
     within = fused.filter(F.col("final_rank") <= budget).select("qid", "doc", "fused_score", "final_rank")
     scored = score_pairs(within.join(queries.select("qid", "query"), "qid").join(texts.select("doc", "text"), "doc"), "query", "text", scorer)
     return rerank_order(scored, budget=budget).filter(F.col("rerank_rank") <= k)
+
+
+def cached_calls(requests: DataFrame, model: Callable[[Sequence[str]], Sequence[str]], path: str, at_once: int = 4, batch: int = 64) -> DataFrame:
+    """The rows of requests (request, ..) with the model's response: each distinct request is asked once, ever.
+
+    Answers are kept as a Parquet table at ``path``; only what it does not hold is
+    asked, by at most ``at_once`` tasks, ``batch`` requests a call. A failing
+    batch is asked one by one, and a request that fails alone has a null
+    response with its error and is asked again next time. Null requests have
+    neither response nor error.
+    """
+    spark = requests.sparkSession
+    spark.createDataFrame([], _ANSWERS).write.mode("append").parquet(path)
+    held = spark.read.schema(_ANSWERS).parquet(path)
+    asked = requests.select("request").filter("request IS NOT NULL").distinct().join(held.select("request"), "request", "left_anti")
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            return model([text])[0], None
+        except Exception as e:  # noqa: BLE001  any failure of a model is told, not raised
+            return None, str(e)[:500]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for k in range(0, len(texts), batch):
+                part = texts[k : k + batch]
+                try:
+                    answers = [(a, None) for a in model(part)]
+                except Exception:  # noqa: BLE001
+                    answers = [one(t) for t in part]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (part, *zip(*answers))], names=["request", "response", "error"])
+
+    made = Scratch(spark).keep(asked.repartition(at_once).mapInArrow(run, _ANSWERS))
+    made.filter("error IS NULL").write.mode("append").parquet(path)
+    answers = held.select("request", "response", F.lit(None).cast("string").alias("error")).unionByName(made)
+    return requests.join(answers.dropDuplicates(["request"]), "request", "left")
+
+
+_ANSWERS = "request string, response string, error string"

@@ -17,10 +17,14 @@ class Bm25:
     b: float = 0.75
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """(doc, the kept columns, dl, term, tf); a text without tokens has one row with a null term, so that it still counts."""
+def term_counts(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None, tokens=txt.tokens) -> DataFrame:
+    """(doc, the kept columns, dl, term, tf); a text without tokens has one row with a null term, so that it still counts.
+
+    ``tokens`` makes a text column an array of tokens: ``text.tokens``, with
+    single Chinese characters, or a ``segment.segmenter`` with words.
+    """
     keep = keep or []
-    each = docs.select(F.col(id_col).alias("doc"), *keep, F.coalesce(txt.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
+    each = docs.select(F.col(id_col).alias("doc"), *keep, F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
     return each.select("doc", *keep, F.size("t").alias("dl"), F.explode_outer("t").alias("term")).groupBy("doc", *keep, "dl", "term").agg(F.count("*").alias("tf"))
 
 

@@ -251,14 +251,14 @@ hp AS (SELECT items, leakage_events, round(v, 6) AS schema_validity_rate, round(
 _GAIN = "coalesce(bool_or(greatest(mrr_gain_pct, ndcg_gain_pct) >= 3 AND recall_kept) FILTER (subset = '{}'), false)"
 _SOUND = "coalesce(bool_or({} = 0 AND regressed = 0) FILTER (subset = '{}'), false)"
 _ROUNDED = ", ".join(f"round({s}_{c}, 6) AS {s}_{c}" for s in "bc" for c in ("recall", "mrr", "ndcg"))
-_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9_]+|[一-鿿]'), lambda x: x NOT IN ({})))"
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({}), '" + sparse.txt.TOKEN + "'), lambda x: x NOT IN ({})))"
 _STOP = ", ".join(f"'{w}'" for w in sparse.txt.STOP_WORDS)
 _LINKS = _SEARCH_SQL["hybrid_graph_evidence"]
 _LINKS = "WITH " + _LINKS[_LINKS.index("sx AS (SELECT DISTINCT") : _LINKS.index(",\ndg AS (")]
 _HARDENED = _AGENTIC_SQL["hardened_sub_problems"]
 _SUB = _HARDENED[: _HARDENED.rindex("SELECT qid, row_number()")].rstrip() + """,
 sp AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ord, query) AS sub, query FROM y),
-s1 AS (SELECT qid, sub, list_filter(regexp_extract_all(lower(query), '[a-z0-9_]+|[一-鿿]'), lambda x: x NOT IN (""" + _STOP + """)) AS w FROM sp),
+s1 AS (SELECT qid, sub, list_filter(regexp_extract_all(lower(query), '""" + sparse.txt.TOKEN + """'), lambda x: x NOT IN (""" + _STOP + """)) AS w FROM sp),
 s2 AS (SELECT qid, sub, dl, term, count(*) AS tf FROM (SELECT qid, sub, len(w) AS dl, unnest(w) AS term FROM s1) GROUP BY ALL),
 s3 AS (SELECT qid, sub, s2.term, idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS wq FROM s2 JOIN d USING (term), n),
 s4 AS (SELECT qid, sub, chunk_id, round(sum(wq * weight), 6) AS score FROM s3 JOIN w USING (term) GROUP BY ALL),

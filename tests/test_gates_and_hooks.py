@@ -130,3 +130,20 @@ def test_publishing_checks(spark):
     assert got == {(3, "empty"), (2, "no_edges")}
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert {tuple(r) for r in catalog.upsert(rows, spark.createDataFrame([(2, "c"), (2, "c"), (3, "d")], "k int, v string"), "k").collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_calls_are_cached_and_failures_told(spark, tmp_path):
+    def model(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("refused")
+        return [t.upper() for t in texts]
+
+    def never(texts):
+        raise AssertionError("asked again")
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad"), (5, None)], "id int, request string")
+    path = f"{tmp_path}/answers"
+    got = {r.id: (r.response, r.error) for r in rerank.cached_calls(rows, model, path).collect()}
+    assert got == {1: ("A", None), 2: ("B", None), 3: ("A", None), 4: (None, "refused"), 5: (None, None)}
+    again = {r.id: (r.response, r.error) for r in rerank.cached_calls(rows, never, path).collect()}
+    assert again == {**got, 4: (None, "asked again")}  # only what failed is asked again

@@ -32,3 +32,26 @@ def test_estimates(spark):
     assert one(spark, "", txt.chars_estimate) == 1
     assert one(spark, " a  b ", txt.words_estimate) == 2
     assert one(spark, "  ", txt.words_estimate) == 0
+
+
+def test_rare_chinese_characters_are_tokens(spark):
+    got = spark.createDataFrame([("Retry 㐀𠀀检 of x_1",)], "t string").select(txt.tokens(F.col("t")).alias("w")).first().w
+    assert got == ["retry", "㐀", "𠀀", "检", "x_1"]
+
+
+def test_words_are_found_and_texts_cut_into_them(spark):
+    import random
+
+    from sparquill.functions import segment
+
+    rng = random.Random(2)
+    lexicon = ["检索", "平台", "重排器", "向量", "存储桶", "队列"]
+    texts = ["".join(rng.choice(lexicon) for _ in range(12)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "id int, t string")
+    words = segment.fit_words(docs, "t", least=20, cohesion=3.0)
+    found = {r.word for r in words.collect()}
+    assert set(lexicon) <= found
+    cut = segment.segmenter(words.filter(F.col("word").isin(lexicon)))
+    got = spark.createDataFrame([("The retry 重排器向量x检索的",), (None,), ("",)], "t string").select(cut(F.col("t")).alias("w")).collect()
+    assert [r.w for r in got] == [["retry", "重排器", "向量", "x", "检索", "的"], None, []]
+    assert segment.fit_words(docs.limit(0), "t").collect() == []
