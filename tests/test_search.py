@@ -88,3 +88,42 @@ def test_unpublished_chunks_take_no_places(spark, tmp_path):
         got.setdefault(r.qid, set()).add(r.evidence_id)
     # 19 is both logged and found at the eighth place
     assert got == {50: {"19", "12", "13", "14", "15"}, 100: {"12", "13", "14", "15", "16"}, 150: {"18"}}
+
+
+def _brute_force(docs, asked, k, weighting):
+    """{(qid, doc, rank)} of token lists by id, in plain Python."""
+    from collections import Counter
+
+    avgdl, df = sum(map(len, docs.values())) / len(docs), Counter(t for words in docs.values() for t in set(words))
+    idf = {t: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    weight = lambda t, words: idf[t] * words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / avgdl))
+    out = set()
+    for qid, query in asked.items():
+        score = {d: round(sum((weight(t, query) if weighting == "idf" else 1) * weight(t, words) for t in sorted(set(query)) if t in words), 6) for d, words in docs.items() if set(query) & set(words)}
+        out |= {(qid, d, n) for n, d in enumerate(sorted(score, key=lambda d: (-score[d], d))[:k], 1)}
+    return out
+
+
+def test_postings_are_pruned_without_changing_the_best(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = {i: [words[min(59, int(x))] for x in rng.exponential(8, rng.integers(1, 12))] for i in range(600)}
+    asked = {i: [words[min(59, int(x))] for x in rng.exponential(14, rng.integers(1, 6))] for i in range(60)}
+    counts = sparse.term_counts(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "id bigint, text string"), "id", "text")
+    queries = spark.createDataFrame([(i, " ".join(w)) for i, w in asked.items()], "qid bigint, query string")
+    # only what the queries read is kept, and both weightings come from it in one pass
+    kept = sparse.kept_counts(counts, queries)
+    assert {r.term for r in kept.select("term").distinct().collect()} == {w for q in asked.values() for w in q if any(w in d for d in docs.values())} | {None}
+    found = sparse.searches(queries, kept, 4)
+    for weighting in ("idf", "binary"):
+        assert {(r.qid, r.doc, r["rank"]) for r in found[weighting].collect()} == _brute_force(docs, asked, 4, weighting)
+
+
+def test_a_part_sends_its_best_only(spark):
+    # 300 documents have the common key 7, of which those with the rare key 8 are far better
+    weights = spark.createDataFrame([(d, 7, 1.0 + d % 5 / 10) for d in range(300)] + [(d, 8, 9.0) for d in range(40, 50)], "doc bigint, key bigint, weight double").repartition(2, "doc")
+    asked = spark.createDataFrame([(1, 7, 1.0, 1.4, 8.9, False), (1, 8, 1.0, 9.0, 8.9, True), (2, 7, 1.0, 1.4, 1.3, True)], "first bigint, key bigint, wq double, most double, enough double, leads boolean")
+    got = [tuple(r) for r in sparse._scored(weights, asked, ["first"], 3).collect()]
+    assert len(got) <= 2 * 2 * 3  # parts, queries, k
+    assert {(d, q) for d, q, _ in got} >= {(44, 1), (49, 1), (43, 1), (4, 2), (9, 2), (14, 2)}
+    assert {s for d, q, s in got if (d, q) == (49, 1)} == {10.4}
