@@ -65,8 +65,8 @@ def graph_expand_2hop_bidirectional(spark, sf_dir):
 
 def graph_expand_3hop_bidirectional(spark, sf_dir):
     """The default expansion: every relation, both ways, three hops, through hubs as customers, parts and suppliers are, within the budget."""
-    out = graph.expand(_seeds(spark, sf_dir), graph.directed_edges(edges(spark, sf_dir), relations=graph.DEFAULT_RELATIONS), 3, budget=10)
-    return graph.within_budget(out, 10).select("qid", "doc", "hop", F.round("weight", 6).alias("weight"), "graph_rank")
+    out = graph.reach(_seeds(spark, sf_dir), graph.directed_edges(edges(spark, sf_dir), relations=graph.DEFAULT_RELATIONS), 3, 10)
+    return out.select("qid", "doc", "hop", F.round("weight", 6).alias("weight"), "graph_rank")
 
 
 def graph_expand_hard_only(spark, sf_dir):

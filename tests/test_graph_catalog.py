@@ -80,3 +80,21 @@ def test_source_hashes_are_streamed(spark):
         spark.createDataFrame(chunks + chunks[:2], "source_id bigint, chunk_id bigint, content_text string"),
     ).collect()
     assert {r.source_id: (r.chunks, r.hash_matches) for r in got} == {1: (3, True), 2: (1, True), 3: (0, None)}
+
+
+def test_what_is_reached_without_paths_is_what_expansion_reaches(spark):
+    import random
+
+    from sparquill.operators import graph
+
+    rng = random.Random(3)
+    # two hubs of soft edges, hard edges between some nodes, loops and repeated edges, two scopes
+    pairs = [(rng.randrange(60), rng.choice((0, 1, rng.randrange(60)))) for _ in range(260)]
+    rows = [(i, a, b, "calls" if i % 3 == 0 else "inferred", "out", i % 3 == 0, a % 2) for i, (a, b) in enumerate(pairs)]
+    edges = spark.createDataFrame(rows + rows[:20], "edge_id bigint, source bigint, target bigint, relation_type string, direction string, is_hard boolean, scope int")
+    seeds = spark.createDataFrame([(q, q % 2, d) for q in range(12) for d in rng.sample(range(60), 1 + q % 3)] + [(1, 0, 5)], "qid bigint, scope int, doc bigint")
+    directed = graph.directed_edges(edges)
+    for hops, budget in ((1, 5), (2, 4), (3, 3), (3, 20)):
+        wanted = graph.within_budget(graph.expand(seeds, directed, hops), budget)
+        cols = ("qid", "scope", "doc", "hop", "weight", "graph_rank")
+        assert {tuple(r) for r in graph.reach(seeds, directed, hops, budget).select(*cols).collect()} == {tuple(r) for r in wanted.select(*cols).collect()}
