@@ -147,3 +147,23 @@ def test_calls_are_cached_and_failures_told(spark, tmp_path):
     assert got == {1: ("A", None), 2: ("B", None), 3: ("A", None), 4: (None, "refused"), 5: (None, None)}
     again = {r.id: (r.response, r.error) for r in rerank.cached_calls(rows, never, path).collect()}
     assert again == {**got, 4: (None, "asked again")}  # only what failed is asked again
+
+
+@pytest.mark.parametrize(
+    "name",
+    ("agentic_gate", "bm25_topk_newest_version", "bounded_rounds", "context_selection", "graph_gate", "hybrid_graph_evidence", "annotated_evidence", "ledger_lookup", "subset_metrics", "final_scores", "merged_rounds", "parent_supplements", "quality_gate", "sound_selections", "sub_problem_recall"),
+)
+def test_a_querys_searches_share_the_postings_of_their_terms(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from sparquill.operators import sparse
+
+    cut, kept = [], []
+    found = spark.createDataFrame([(0, 1, 1.0, 1)], "qid bigint, doc bigint, score double, rank int")
+    counts = spark.createDataFrame([(1, 1, "w", 1)], "doc bigint, dl int, term string, tf bigint")
+    monkeypatch.setattr(sparse, "term_counts", lambda docs, id_col, *a, **k: cut.append(id_col) or counts)
+    monkeypatch.setattr(sparse, "kept_counts", lambda counts, queries: kept.append(queries) or counts, raising=False)
+    monkeypatch.setattr(sparse, "search", lambda queries, *a, **k: found.withColumn("qid", found["qid"].cast(queries.schema["qid"].dataType)))
+    monkeypatch.setattr(sparse, "searches", lambda queries, counts, k=5, weightings=("idf", "binary"), **other: dict.fromkeys(weightings, found), raising=False)
+    entry.queries()[name](spark, entry.SMOKE_DIR)
+    # the texts are cut into words once, and only what the searches read is written
+    assert (cut, len(kept)) == (["chunk_id"], 1)
